@@ -1,8 +1,8 @@
 """The queries of this subpackage, one or more per operator, and their SQL where SQL can express them."""
 
-from cartolith.llm import chat, exact, packing, simhash, urls
+from cartolith.llm import chat, exact, html, packing, simhash, urls
 
-_MODULES = (exact, urls, packing, simhash, chat)
+_MODULES = (html, exact, urls, packing, simhash, chat)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
