@@ -15,6 +15,8 @@ power of two.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,31 +31,46 @@ from cartolith.llm.common import join_checked, staged
 
 SEQUENCE = 2048
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 
 
-class WordIds(dict):
-    """Ids of pre-tokens as little-endian uint16 bytes; misses ask the tokenizer, the memory is bounded.
+#: Texts of these characters only are cut into pre-tokens here; all others are given to the tokenizer whole.
+UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u024f]")
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
-    A byte-level BPE merges inside pre-tokens only, so a text's ids are those of its pre-tokens in order.
+
+class TextIds:
+    """Ids of texts as little-endian uint16 bytes.
+
+    A byte-level BPE merges inside pre-tokens only, so a text's ids are those
+    of its pre-tokens in order. Known pre-tokens are kept in two generations of
+    bounded size; the unknown ones of a batch go to the tokenizer together.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # control strings inside texts are ordinary text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit into 16 bits")
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        if len(word) <= 64:
-            self[word] = found
-        return found
+    def batch(self, texts: list[str]) -> list[bytes]:
+        words = [None if UNUSUAL.search(t) else PIECES.findall(t) for t in texts]
+        if len(self.known) >= CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        new = {w for own in words if own for w in own}.difference(self.known)
+        for w in new & self.older.keys():
+            self.known[w] = self.older[w]
+        new = list(new.difference(self.older))
+        self.known.update(zip(new, self._encode(new), strict=True))
+        get = self.known.__getitem__
+        return [self._encode([t])[0] if own is None else b"".join(map(get, own)) for t, own in zip(texts, words, strict=True)]
 
 
 def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -61,16 +78,14 @@ def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
-        import regex
 
-        ids = WordIds(public_tokenizers.path(vocabulary))
-        pieces = regex.compile(public_tokenizers.PATTERN).findall
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core only
+        ids = TextIds(public_tokenizers.path(vocabulary))
         end = np.array([END_ID], dtype="<u2").tobytes()
         part, row, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                texts = batch.column(1)[at : at + 256].to_pylist()
-                data = [b"".join(map(ids.__getitem__, pieces(t or ""))) + end for t in texts]
+                data = [d + end for d in ids.batch([t or "" for t in batch.column(1)[at : at + 256].to_pylist()])]
                 n = np.array([len(d) // 2 for d in data], dtype=np.int64)
                 starts = before + np.cumsum(n) - n
                 yield pa.RecordBatch.from_arrays(
