@@ -143,5 +143,10 @@ def op5_packing(spark, sf_dir: str) -> DataFrame:
     return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage, the last: the pieces of all documents that stay."""
+    return packed(docs)
+
+
 QUERIES = {"op5_packing": op5_packing}
 SQL: dict[str, str] = {}

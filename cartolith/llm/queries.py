@@ -1,8 +1,8 @@
 """The queries of this subpackage, one or more per operator, and their SQL where SQL can express them."""
 
-from cartolith.llm import chat, exact, html, packing, quality, simhash, toxicity, urls
+from cartolith.llm import chat, exact, html, lines, packing, quality, simhash, toxicity, urls
 
-_MODULES = (html, exact, urls, quality, packing, simhash, toxicity, chat)
+_MODULES = (html, exact, urls, quality, packing, simhash, toxicity, chat, lines)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}

@@ -132,6 +132,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3) -> DataF
     return marked.join(staged(classes, "simhash-classes"), "fp")
 
 
+def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each component the row with the smallest doc_id stays (the first row of it, where rows repeat)."""
+    numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    found = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    named = numbered.select("__row", "doc_id").join(found, "__row")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first")).select("first.__row")
+    return numbered.join(staged(first, "simhash-kept"), "__row", "left_semi").select(*docs.columns)
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
