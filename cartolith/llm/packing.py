@@ -31,46 +31,41 @@ from cartolith.llm.common import join_checked, staged
 
 SEQUENCE = 2048
 END_ID = 1
-CACHE_WORDS = 400_000
 
 
-#: Texts of these characters only are cut into pre-tokens here; all others are given to the tokenizer whole.
+#: Texts of these characters only take the faster engine; all others are given to the tokenizer itself.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u024f]")
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
 class TextIds:
     """Ids of texts as little-endian uint16 bytes.
 
-    A byte-level BPE merges inside pre-tokens only, so a text's ids are those
-    of its pre-tokens in order. Known pre-tokens are kept in two generations of
-    bounded size; the unknown ones of a batch go to the tokenizer together.
+    The tokenizer's vocabulary and merges, in which a merge's rank is its id, also drive
+    a faster engine of the same algorithm; it takes the texts whose characters
+    both classify alike.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # control strings inside texts are ordinary text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit into 16 bits")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        letters = [b for b in range(256) if chr(b) in ByteLevel.alphabet()]
+        others = [b for b in range(256) if b not in letters]
+        byte = {chr(b): b for b in letters} | {chr(256 + k): b for k, b in enumerate(others)}
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(byte[c] for c in piece): k for piece, k in self.tokenizer.get_vocab().items() if piece not in special}
+        self.engine = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        words = [None if UNUSUAL.search(t) else PIECES.findall(t) for t in texts]
-        if len(self.known) >= CACHE_WORDS:
-            self.known, self.older = {}, self.known
-        new = {w for own in words if own for w in own}.difference(self.known)
-        for w in new & self.older.keys():
-            self.known[w] = self.older[w]
-        new = list(new.difference(self.older))
-        self.known.update(zip(new, self._encode(new), strict=True))
-        get = self.known.__getitem__
-        return [self._encode([t])[0] if own is None else b"".join(map(get, own)) for t, own in zip(texts, words, strict=True)]
+    def encode(self, text: str) -> bytes:
+        if UNUSUAL.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        return np.array(self.engine.encode_ordinary(text), dtype="<u2").tobytes()
 
 
 def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -80,12 +75,12 @@ def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
         import public_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core only
-        ids = TextIds(public_tokenizers.path(vocabulary))
+        ids = TextIds(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
         end = np.array([END_ID], dtype="<u2").tobytes()
         part, row, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                data = [d + end for d in ids.batch([t or "" for t in batch.column(1)[at : at + 256].to_pylist()])]
+                data = [ids.encode(t or "") + end for t in batch.column(1)[at : at + 256].to_pylist()]
                 n = np.array([len(d) // 2 for d in data], dtype=np.int64)
                 starts = before + np.cumsum(n) - n
                 yield pa.RecordBatch.from_arrays(
