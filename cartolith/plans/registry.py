@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("tag_queries",)
+MODULES: tuple[str, ...] = ("tag_queries", "cell_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
