@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +31,37 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of tables staged inside recorded() since the last drop_recorded(); None outside of it.
+_recorded: list[str] | None = None
+_finished: list[str] = []
+
+
+@contextmanager
+def recorded() -> Iterator[None]:
+    """Remember the tables staged inside, so that drop_recorded() can delete them."""
+    global _recorded
+    _recorded = []
+    try:
+        yield
+    finally:
+        _finished.extend(_recorded)
+        _recorded = None
+
+
+def drop_recorded(spark: SparkSession) -> None:
+    """Delete the tables staged inside recorded(); call it when the frames built on them are written."""
+    while _finished:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_finished.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    if _recorded is not None:
+        _recorded.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import staged
+from cartolith.llm.common import join_checked, staged
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -44,10 +44,10 @@ def with_repeated_words(df: DataFrame) -> DataFrame:
     are sorted (not compared in pairs) and equal neighbours marked. Each step is
     a column of its own, so that it is computed once and not per element.
     """
-    words = F.col("words")
+    words, codes = F.col("words"), F.col("codes")
     count = F.size(words) - (WINDOW - 1)
     at = F.sequence(F.lit(0), count - 1)
-    hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
+    hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(codes, i + k) for k in range(WINDOW)]))
     df = df.withColumn("has_repeat", F.when(count >= 2, F.size(F.array_distinct(hashes)) < count).otherwise(F.lit(False)))
     windows = F.array_sort(F.transform(at, lambda i: F.struct(F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("w"), i.alias("i"))))
     df = df.withColumn("windows", F.when(F.col("has_repeat"), windows).cast("array<struct<w:string,i:int>>"))
@@ -62,12 +62,17 @@ def with_repeated_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long"))).drop("has_repeat", "windows", "marked")
 
 
-def grams(words: Column) -> Column:
-    """Bucket numbers of all words and all pairs of neighbours."""
-    bucket = lambda *w: F.pmod(F.xxhash64(*w), F.lit(BUCKETS)).cast("int")
-    single = F.transform(words, lambda w: bucket(F.lower(w)))
-    pair = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: bucket(F.lower(F.get(words, i - 1)), F.lower(F.get(words, i))))
-    return F.when(F.size(words) > 1, F.concat(single, pair)).otherwise(single)
+def codes_of(words: Column) -> Column:
+    """One hash per word; windows and pairs hash these."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def grams(codes: Column) -> Column:
+    """Bucket numbers of all words and all pairs of neighbours, from the word hashes."""
+    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    single = F.transform(codes, lambda h: bucket(h))
+    pair = F.transform(F.sequence(F.lit(1), F.size(codes) - 1), lambda i: bucket(F.xxhash64(F.get(codes, i - 1), F.get(codes, i))))
+    return F.when(F.size(codes) > 1, F.concat(single, pair)).otherwise(single)
 
 
 def base_counts(text: Column, words: Column) -> list[Column]:
@@ -91,11 +96,14 @@ def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The target of fold f leaves the fold's own documents out, so that a labelled
     document is scored as an unlabelled one would be.
     """
-    good = labels.where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(1).cast("long"))
-    words = docs.select("doc_id", words_of(F.col("text")).alias("words")).join(good, "doc_id", "left").withColumn("fold", F.coalesce(fold(), F.lit(0)))
-    words = words.select("words", *[F.when((F.col("good") == 1) & (F.col("fold") != f), 1).otherwise(0).cast("long").alias(f"good{f}") for f in range(FOLDS)])
-    rows = words.select(*[f"good{f}" for f in range(FOLDS)], F.explode(grams(F.col("words"))).alias("bucket"))
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("raw"), *[F.sum(f"good{f}").alias(f"target{f}") for f in range(FOLDS)])
+    good = staged(labels.where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(1).cast("long")), "quality-good")
+    # the labelled ids are small and broadcast; past the bound the plain texts are dealt by id, not their words
+    marked = join_checked(docs.select("doc_id", "text"), good, ["doc_id"], "left", 32).withColumn("fold", F.coalesce(fold(), F.lit(0)))
+    targets = [F.when((F.col("good") == 1) & (F.col("fold") != f), 1).otherwise(0).cast("long").alias(f"target{f}") for f in range(FOLDS)]
+    words = marked.select(*targets, words_of(F.col("text")).alias("words"))
+    codes = words.select(*[f"target{f}" for f in range(FOLDS)], codes_of(F.col("words")).alias("codes"))
+    rows = codes.select(*[f"target{f}" for f in range(FOLDS)], F.explode(grams(F.col("codes"))).alias("bucket"))
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("raw"), *[F.sum(f"target{f}").alias(f"target{f}") for f in range(FOLDS)])
     counts = staged(counts, "quality-counts")
     totals = counts.agg(F.sum("raw").alias("raws"), *[F.sum(f"target{f}").alias(f"targets{f}") for f in range(FOLDS)])
     share = lambda n, total: (F.col(n) + SMOOTHING) / (F.col(total) + SMOOTHING * BUCKETS)
@@ -109,10 +117,10 @@ def scored(docs: DataFrame, labels: DataFrame, row: str | None = None) -> DataFr
     number = F.col(row) if row else F.monotonically_increasing_id()
     docs = docs.select(number.alias("row"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     table = F.broadcast(staged(weights(docs, labels), "quality-weights"))  # BUCKETS rows of some 50 bytes at most
-    words = docs.withColumn("words", words_of(F.col("text")))
+    words = docs.withColumn("words", words_of(F.col("text"))).withColumn("codes", codes_of(F.col("words")))
     # the counts are columns below the explode, so that they are computed per document
-    counted = with_repeated_words(words).select("row", "doc_id", "words", *base_counts(F.col("text"), F.col("words")))
-    flat = counted.select("row", "doc_id", *BASE, F.explode_outer(grams(F.col("words"))).alias("bucket"))
+    counted = with_repeated_words(words).select("row", "doc_id", "codes", *base_counts(F.col("text"), F.col("words")))
+    flat = counted.select("row", "doc_id", *BASE, F.explode_outer(grams(F.col("codes"))).alias("bucket"))
     # the rows of a document follow each other in one task, so nearly all is summed before the shuffle
     summed = flat.join(table, "bucket", "left").groupBy("row", "doc_id", *BASE).agg(F.round(F.avg(F.get("w", F.coalesce(fold(), F.lit(0)))), 9).alias("score"))
     return staged(summed, "quality-scores")
@@ -145,7 +153,8 @@ def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
     numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "quality-rows")
     scores = judged(numbered, spark.read.parquet(f"{sf_dir}/labels.parquet"), row="__row")
-    return numbered.join(scores.where("kept").select(F.col("row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    kept = staged(scores.where("kept").select(F.col("row").alias("__row")), "quality-kept")
+    return join_checked(numbered, kept, ["__row"], "left_semi", 16).select(*docs.columns)
 
 
 QUERIES = {"op4_quality": op4_quality}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.llm import linking
-from cartolith.llm.common import staged
+from cartolith.llm.common import join_checked, staged
 
 GOLAY = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 SEED = 42
@@ -138,7 +138,7 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
     named = numbered.select("__row", "doc_id").join(found, "__row")
     first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first")).select("first.__row")
-    return numbered.join(staged(first, "simhash-kept"), "__row", "left_semi").select(*docs.columns)
+    return join_checked(numbered, staged(first, "simhash-kept"), ["__row"], "left_semi", 16).select(*docs.columns)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
