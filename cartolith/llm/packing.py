@@ -19,6 +19,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,12 @@ class TextIds:
         return np.array(self.engine.encode_ordinary(text), dtype="<u2").tobytes()
 
 
+@lru_cache(maxsize=1)
+def text_ids(path: str, pattern: str) -> TextIds:
+    """One instance per worker process."""
+    return TextIds(path, pattern)
+
+
 def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, part, row, before, n, ids): ids as uint16 bytes with the end id; before = tokens before it in the partition."""
 
@@ -75,7 +82,7 @@ def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
         import public_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core only
-        ids = TextIds(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
+        ids = text_ids(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
         end = np.array([END_ID], dtype="<u2").tobytes()
         part, row, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:

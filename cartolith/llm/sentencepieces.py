@@ -25,6 +25,7 @@ import math
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 N_BEST = 4
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 UNKNOWN_LOSS = 10.0
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -187,13 +188,19 @@ class Segmenter:
         return data.decode("utf-8", "replace").removeprefix(" ")
 
 
+@lru_cache(maxsize=1)
+def segmenter_of(model_file: str, n: int) -> Segmenter:
+    """One segmenter per worker process: its word caches serve all tasks that run there."""
+    return Segmenter(model_file, n)
+
+
 def segmented(docs: DataFrame, model: str = "piece_bpe_32k.model", n: int = N_BEST) -> DataFrame:
     """(doc_id, decoded, nbest): nbest = array of (score, ids as uint16 bytes), best first; decoded from the best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        segmenter = Segmenter(public_tokenizers.path(model), n)
+        segmenter = segmenter_of(public_tokenizers.path(model), n)
         kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.binary())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
