@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("tag_queries", "cell_queries", "feature_queries", "raster_queries", "stream_queries")
+MODULES: tuple[str, ...] = ("tag_queries", "cell_queries", "feature_queries", "raster_queries", "stream_queries", "network_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
