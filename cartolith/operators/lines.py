@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BY_WAY = Window.partitionBy("way_id").orderBy("seq")
+
+def by_way():
+    """The vertices of a line in order."""
+    return Window.partitionBy("way_id").orderBy("seq")
+
 
 
 def measured(points: DataFrame) -> DataFrame:
     """Segments with x2, y2, length and the distance `start` from the line's first vertex."""
-    df = points.withColumn("x2", F.lead("x").over(BY_WAY)).withColumn("y2", F.lead("y").over(BY_WAY)).where("x2 IS NOT NULL")
+    df = points.withColumn("x2", F.lead("x").over(by_way())).withColumn("y2", F.lead("y").over(by_way())).where("x2 IS NOT NULL")
     dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
     df = df.withColumn("length", F.sqrt((dx * dx + dy * dy).cast("double")))
-    return df.withColumn("start", F.sum("length").over(BY_WAY.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
+    return df.withColumn("start", F.sum("length").over(by_way().rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
 
 
 def lengths(points: DataFrame) -> DataFrame:
@@ -23,7 +27,7 @@ def lengths(points: DataFrame) -> DataFrame:
 
 def without_repeats(points: DataFrame) -> DataFrame:
     """Drop vertices equal to the one before."""
-    same = (F.lag("x").over(BY_WAY) == F.col("x")) & (F.lag("y").over(BY_WAY) == F.col("y"))
+    same = (F.lag("x").over(by_way()) == F.col("x")) & (F.lag("y").over(by_way()) == F.col("y"))
     return points.withColumn("same", F.coalesce(same, F.lit(False))).where("NOT same").drop("same")
 
 
@@ -50,7 +54,7 @@ def stations(points: DataFrame, step: float, keep_last: bool = False) -> DataFra
 
 def inserted(points: DataFrame, n: int) -> DataFrame:
     """n evenly spaced integer points between neighbours, the last vertex included."""
-    nxt = points.withColumn("x2", F.lead("x").over(BY_WAY)).withColumn("y2", F.lead("y").over(BY_WAY))
+    nxt = points.withColumn("x2", F.lead("x").over(by_way())).withColumn("y2", F.lead("y").over(by_way()))
     steps = F.when(F.col("x2").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(n)))
     rows = nxt.withColumn("k", F.explode(steps))
     mid = lambda a, b: F.when(F.col(b).isNull(), F.col(a)).otherwise((F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.lit(float(n + 1))).cast("long"))
@@ -59,8 +63,8 @@ def inserted(points: DataFrame, n: int) -> DataFrame:
 
 def perpendiculars(points: DataFrame) -> DataFrame:
     """Unit perpendicular at each vertex from its neighbours' difference (one-sided at the ends)."""
-    dx = F.coalesce(F.lead("x").over(BY_WAY), F.col("x")) - F.coalesce(F.lag("x").over(BY_WAY), F.col("x"))
-    dy = F.coalesce(F.lead("y").over(BY_WAY), F.col("y")) - F.coalesce(F.lag("y").over(BY_WAY), F.col("y"))
+    dx = F.coalesce(F.lead("x").over(by_way()), F.col("x")) - F.coalesce(F.lag("x").over(by_way()), F.col("x"))
+    dy = F.coalesce(F.lead("y").over(by_way()), F.col("y")) - F.coalesce(F.lag("y").over(by_way()), F.col("y"))
     rows = points.withColumn("dx", dx.cast("double")).withColumn("dy", dy.cast("double")).withColumn("n", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
     return rows.select("way_id", "seq", F.when(F.col("n") > 0, -F.col("dy") / F.col("n")).otherwise(0.0).alias("nx"), F.when(F.col("n") > 0, F.col("dx") / F.col("n")).otherwise(0.0).alias("ny"))
 
@@ -68,8 +72,8 @@ def perpendiculars(points: DataFrame) -> DataFrame:
 def turns(points: DataFrame, degrees: float, target: float) -> DataFrame:
     """(way_id, sharp, sparse): whether a turn exceeds the angle, or a segment 1.5 times the target length."""
     segs = measured(points).where("length > 0").withColumn("dx", F.col("x2") - F.col("x")).withColumn("dy", F.col("y2") - F.col("y"))
-    dot = F.col("dx") * F.lag("dx").over(BY_WAY) + F.col("dy") * F.lag("dy").over(BY_WAY)
-    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / (F.col("length") * F.lag("length").over(BY_WAY))))
+    dot = F.col("dx") * F.lag("dx").over(by_way()) + F.col("dy") * F.lag("dy").over(by_way())
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / (F.col("length") * F.lag("length").over(by_way()))))
     segs = segs.withColumn("angle", F.round(F.degrees(F.acos(cosine)), 6))
     return segs.groupBy("way_id").agg(F.coalesce(F.bool_or(F.col("angle") > degrees), F.lit(False)).alias("sharp"), F.bool_or(F.col("length") > 1.5 * target).alias("sparse"))
 
@@ -104,5 +108,5 @@ def ring_measures(vertices: DataFrame, key: str) -> DataFrame:
 
 def links(sequences: DataFrame) -> DataFrame:
     """(a, b, radius): successive poles on a line as unordered pairs with the largest radius."""
-    nxt = sequences.withColumn("to", F.lead("pole").over(BY_WAY)).where("to IS NOT NULL AND to <> pole")
+    nxt = sequences.withColumn("to", F.lead("pole").over(by_way())).where("to IS NOT NULL AND to <> pole")
     return nxt.groupBy(F.least("pole", "to").alias("a"), F.greatest("pole", "to").alias("b")).agg(F.max("radius").alias("radius"))

@@ -213,7 +213,7 @@ def _(v):
 @query("WIN_17_pole_sequence", "WITH s AS (SELECT way_id, seq, node_id DIV 50 AS pole, lag(node_id DIV 50) OVER (PARTITION BY way_id ORDER BY seq) AS before FROM {way_node}) SELECT way_id, seq, pole FROM s WHERE before IS NULL OR before <> pole")
 def _(v):
     rows = v("way_node").select("way_id", "seq", F.expr("node_id div 50").alias("pole"))
-    before = F.lag("pole").over(L.BY_WAY)
+    before = F.lag("pole").over(L.by_way())
     return rows.withColumn("before", before).where("before IS NULL OR before <> pole").drop("before")
 
 
