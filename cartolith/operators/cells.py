@@ -60,13 +60,17 @@ def segment_distance2(px: Column, py: Column) -> Column:
     return ex * ex + ey * ey
 
 
-def ribbons(lines: DataFrame, half_width: int, key: str = "way_id") -> DataFrame:
-    """(key, x, y): cells whose centre lies within half_width of a line; round caps."""
+def ribbons(lines: DataFrame, half_width: int, key: str = "way_id", once: bool = True) -> DataFrame:
+    """(key, x, y): cells whose centre lies within half_width of a line; round caps.
+
+    With once=False a cell comes once per segment that covers it, which saves a shuffle before an overlay.
+    """
     boxes = segments(lines, key)
     xs = F.sequence(F.least("x1", "x2") - half_width, F.greatest("x1", "x2") + half_width)
     ys = F.sequence(F.least("y1", "y2") - half_width, F.greatest("y1", "y2") + half_width)
     cells = boxes.withColumn("x", F.explode(xs)).withColumn("y", F.explode(ys))
-    return cells.where(segment_distance2(F.col("x"), F.col("y")) <= half_width * half_width + 1e-9).select(key, "x", "y").distinct()
+    near = cells.where(segment_distance2(F.col("x"), F.col("y")) <= half_width * half_width + 1e-9).select(key, "x", "y")
+    return near.distinct() if once else near
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -10,11 +10,11 @@ from cartolith.plans.fixtures import Register
 query = Register()
 QUERIES, SQL = query.queries, query.sql
 
-#: A quarter of the features is painted on a 256 x 256 frame, so that they overlap.
+#: All features and ways are moved onto a 256 x 256 frame by their anchors, so that they overlap.
 SMALL = "SELECT feature_id, status, x0 % 240 AS x0, y0 % 240 AS y0, w, h FROM {rect}"
 PAINTED = f"p AS (SELECT feature_id, status, unnest(range(x0, x0 + w + 1)) AS x, y FROM (SELECT *, unnest(range(y0, y0 + h + 1)) AS y FROM ({SMALL})))"
 MASK = "(SELECT x, y FROM {mask})"
-ROADS = "SELECT way_id, seq, x % 200 AS x, y % 200 AS y FROM {way_pt} WHERE way_id % 50 = 0"
+ROADS = "SELECT way_id, seq, x - (way_id * 7919) % 3968 + (way_id * 7919) % 3968 % 180 - 24 AS x, y - (way_id * 104729) % 3968 + (way_id * 104729) % 3968 % 180 - 24 AS y FROM {way_pt}"
 SEGS = f"g AS (SELECT way_id, seq AS seg, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM ({ROADS}) WINDOW w AS (PARTITION BY way_id ORDER BY seq))"
 BAND = """b AS (SELECT way_id, x, y FROM (SELECT *, unnest(range(least(y1, y2) - 2, greatest(y1, y2) + 3)) AS y FROM (SELECT *, unnest(range(least(x1, x2) - 2, greatest(x1, x2) + 3)) AS x FROM g WHERE x2 IS NOT NULL)),
  LATERAL (SELECT CASE WHEN (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) = 0 THEN 0e0 ELSE greatest(0e0, least(1e0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / CAST((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS DOUBLE))) END AS t)
@@ -30,13 +30,14 @@ def painted(v):
 
 
 def roads(v):
-    return v("way_pt").where("way_id % 50 = 0").select("way_id", "seq", (F.col("x") % 200).alias("x"), (F.col("y") % 200).alias("y"))
+    moved = lambda c, k: (F.col(c) - (F.col("way_id") * k) % 3968 + (F.col("way_id") * k) % 3968 % 180 - 24).alias(c)
+    return v("way_pt").select("way_id", "seq", moved("x", 7919), moved("y", 104729))
 
 
 def layered(v):
     """Painted features and road bands with a layer and its rank: farmland before forest before roads."""
     areas = painted(v).select(F.when(F.col("status") == "F", "farmland").otherwise("forest").alias("layer"), F.when(F.col("status") == "F", 1).otherwise(2).cast("long").alias("rank"), "x", "y")
-    bands = C.ribbons(roads(v), 2).select(F.lit("road").alias("layer"), F.lit(0).cast("long").alias("rank"), "x", "y")
+    bands = C.ribbons(roads(v), 2, once=False).select(F.lit("road").alias("layer"), F.lit(0).cast("long").alias("rank"), "x", "y")
     return areas.unionByName(bands)
 
 
@@ -55,15 +56,15 @@ def _(v):
     return C.with_base(owned, grid(v), "base").groupBy("layer").agg(F.count("*").alias("cells"))
 
 
-@query("POLY_01_polygon_fill", "WITH p AS (SELECT feature_id, unnest(range(x0, x0 + w + 1)) AS x, y, x0, w, h, y0 FROM (SELECT *, unnest(range(y0, y0 + h)) AS y FROM {rect} WHERE feature_id % 20 = 0)) SELECT feature_id, x, y FROM p WHERE NOT (x >= x0 + 1 AND x <= x0 + 2 AND y >= y0 + 1 AND y < y0 + 3)")
+@query("POLY_01_polygon_fill", "WITH p AS (SELECT feature_id, unnest(range(x0, x0 + w + 1)) AS x, y, x0, w, h, y0 FROM (SELECT *, unnest(range(y0, y0 + h)) AS y FROM {rect})) SELECT feature_id, count(*) AS cells, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy FROM p WHERE NOT (x >= x0 + 1 AND x <= x0 + 2 AND y >= y0 + 1 AND y < y0 + 3) GROUP BY feature_id")
 def _(v):
-    r = v("rect").where("feature_id % 20 = 0")
     at = lambda ring, pts: F.array(*[F.struct(F.lit(ring).alias("ring"), F.lit(k).alias("seq"), x.cast("double").alias("x"), y.cast("double").alias("y")) for k, (x, y) in enumerate(pts)])
     x0, y0, x1, y1 = F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h")
     outer = at(0, [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)])
     a, b = x0 + 0.5, x0 + 2.5
     inner = at(1, [(a, y0 + 1), (b, y0 + 1), (b, y0 + 3), (a, y0 + 3), (a, y0 + 1)])
-    return C.fill_polygons(r.select("feature_id", F.explode(F.concat(outer, inner)).alias("p")).select("feature_id", "p.*"))
+    filled = C.fill_polygons(v("rect").select("feature_id", F.explode(F.concat(outer, inner)).alias("p")).select("feature_id", "p.*"))
+    return filled.groupBy("feature_id").agg(F.count("*").alias("cells"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
 
 
 @query("POLY_02_line_ribbon", f"WITH {SEGS}, {BAND} SELECT way_id, count(*) AS cells, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy FROM b GROUP BY way_id")
@@ -84,7 +85,7 @@ def _(v):
 
 @query("POLY_05_cut_by_lines", f"WITH {PAINTED}, {SEGS}, {BAND} SELECT feature_id, count(*) AS cells FROM p ANTI JOIN b USING (x, y) GROUP BY feature_id")
 def _(v):
-    return C.difference(painted(v), C.ribbons(roads(v), 2)).groupBy("feature_id").agg(F.count("*").alias("cells"))
+    return C.difference(painted(v), C.ribbons(roads(v), 2, once=False)).groupBy("feature_id").agg(F.count("*").alias("cells"))
 
 
 @query("POLY_06_subtract_holes", f"WITH {PAINTED} SELECT feature_id, count(*) AS cells FROM p WHERE status = 'F' AND NOT EXISTS (SELECT 1 FROM p q WHERE q.status = 'O' AND q.feature_id % 3 = 0 AND q.x = p.x AND q.y = p.y) GROUP BY feature_id")
@@ -163,9 +164,9 @@ def _(v):
     return C.eroded(v("soil").where("class <> 3"), 1, 64, 500)
 
 
-@query("POLY_09_inset", "WITH p AS (SELECT feature_id, x0 + 1 AS a, x0 + w - 1 AS b, y0 + 1 AS c, y0 + h - 1 AS d FROM {rect} WHERE feature_id % 10 = 0) SELECT feature_id, (b - a + 1) * (d - c + 1) AS cells FROM p")
+@query("POLY_09_inset", "WITH p AS (SELECT feature_id, x0 + 1 AS a, x0 + w - 1 AS b, y0 + 1 AS c, y0 + h - 1 AS d FROM {rect}) SELECT feature_id, (b - a + 1) * (d - c + 1) AS cells FROM p")
 def _(v):
-    cells = C.fill_rectangles(v("rect").where("feature_id % 10 = 0")).select("feature_id", "x", "y")
+    cells = C.fill_rectangles(v("rect")).select("feature_id", "x", "y")
     return C.eroded(cells, 1, 8192, 8192, ("feature_id",)).groupBy("feature_id").agg(F.count("*").alias("cells"))
 
 

@@ -55,9 +55,9 @@ def _(v):
     return v("way_tag").where("k = 'landuse' AND v <> 'farmland'").join(inner, "way_id", "left_anti").select("way_id").distinct()
 
 
-@query("JOIN_10_orphan_nodes", "SELECT node_id FROM {node} WHERE node_id NOT IN (SELECT node_id FROM {node_tag}) AND node_id NOT IN (SELECT node_id FROM {way_node} WHERE way_id % 5 = 0)")
+@query("JOIN_10_orphan_nodes", "SELECT node_id FROM {node} WHERE node_id NOT IN (SELECT node_id FROM {node_tag}) AND node_id NOT IN (SELECT node_id FROM {way_node} JOIN {way_tag} USING (way_id) WHERE v = 'motorway')")
 def _(v):
-    return G.orphans(v("node").select("node_id"), v("node_tag"), v("way_node").where("way_id % 5 = 0"), v("relation_member"))
+    return G.orphans(v("node").select("node_id"), v("node_tag"), v("way_node").join(v("way_tag").where("v = 'motorway'"), "way_id", "left_semi"), v("relation_member"))
 
 
 @query("JOIN_11_remove_replaced", "SELECT type, count(*) AS kept FROM {relation_member} WHERE ref % 9 <> 0 GROUP BY type")
@@ -77,9 +77,9 @@ def _(v):
     return G.bounds(G.way_geometry(v("way_node"), v("node")), "way_id")
 
 
-@query("AGG_03_end_degree", "WITH e AS (SELECT way_id, min_by(node_id, seq) AS a, max_by(node_id, seq) AS b FROM {way_node} WHERE way_id % 10 = 0 GROUP BY way_id), d AS (SELECT node_id, count(*) AS n FROM (SELECT a AS node_id FROM e UNION ALL SELECT b FROM e) GROUP BY node_id) SELECT way_id, d1.n = 1 AS round_start, d2.n = 1 AS round_end FROM e JOIN d d1 ON a = d1.node_id JOIN d d2 ON b = d2.node_id")
+@query("AGG_03_end_degree", "WITH e AS (SELECT way_id, min_by(node_id, seq) AS a, max_by(node_id, seq) AS b FROM {way_node} SEMI JOIN (SELECT way_id FROM {way_tag} WHERE k = 'highway') USING (way_id) GROUP BY way_id), d AS (SELECT node_id, count(*) AS n FROM (SELECT a AS node_id FROM e UNION ALL SELECT b FROM e) GROUP BY node_id) SELECT way_id, d1.n = 1 AS round_start, d2.n = 1 AS round_end FROM e JOIN d d1 ON a = d1.node_id JOIN d d2 ON b = d2.node_id")
 def _(v):
-    return G.end_degrees(v("way_node").where("way_id % 10 = 0"))
+    return G.end_degrees(v("way_node").join(v("way_tag").where("k = 'highway'"), "way_id", "left_semi"))
 
 
 @query("AGG_25_primitive_counts", "SELECT 'node' AS type, count(*) AS n FROM {node} UNION ALL SELECT 'way', count(DISTINCT way_id) FROM {way_node} UNION ALL SELECT 'relation', count(DISTINCT rel_id) FROM {relation_member}")
@@ -144,9 +144,9 @@ def _(v):
     return G.dense_ids(v("rect").where("h > 10"), ["w", "h", "feature_id"], 100).select("feature_id", "new_id")
 
 
-@query("WIN_16_widest_scope", "SELECT k, v, max_by(x0, scope) AS x0 FROM (SELECT k, v, way_id % 1000 AS x0, (way_id % 1000) * 4 + way_id % 3 AS scope FROM {way_tag} WHERE way_id < 1000) GROUP BY k, v")
+@query("WIN_16_widest_scope", "SELECT k, v, max_by(x0, scope) AS x0 FROM (SELECT k, v, way_id % 1000 AS x0, way_id * 4 + way_id % 3 AS scope FROM {way_tag}) GROUP BY k, v")
 def _(v):
-    rules = v("way_tag").where("way_id < 1000").select("k", "v", (F.col("way_id") % 1000).alias("x0"), ((F.col("way_id") % 1000) * 4 + F.col("way_id") % 3).alias("scope"))
+    rules = v("way_tag").select("k", "v", (F.col("way_id") % 1000).alias("x0"), (F.col("way_id") * 4 + F.col("way_id") % 3).alias("scope"))
     return rules.groupBy("k", "v").agg(F.max_by("x0", "scope").alias("x0"))
 
 
@@ -184,13 +184,13 @@ def _(v):
     return G.nearest_within(v("footprint").select(F.col("footprint_id").alias("left_id"), "x", "y"), poles, 64, 64)
 
 
-NEAR = """g AS (SELECT way_id, seq AS seg, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM {way_pt} WHERE way_id % 20 = 0 WINDOW w AS (PARTITION BY way_id ORDER BY seq)),
+NEAR = """g AS (SELECT way_id, seq AS seg, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM {way_pt} WINDOW w AS (PARTITION BY way_id ORDER BY seq)),
 d AS (SELECT footprint_id AS point_id, way_id, seg, round(pow(x - x1 - t * (x2 - x1), 2) + pow(y - y1 - t * (y2 - y1), 2), 6) AS d2 FROM (SELECT *, CASE WHEN x1 = x2 AND y1 = y2 THEN 0e0 ELSE greatest(0e0, least(1e0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / CAST((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS DOUBLE))) END AS t FROM {footprint} JOIN g ON x2 IS NOT NULL AND x BETWEEN least(x1, x2) - 100 AND greatest(x1, x2) + 100 AND y BETWEEN least(y1, y2) - 100 AND greatest(y1, y2) + 100)),
 n AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d2, way_id, seg) AS k FROM d WHERE d2 <= 10000)"""
 
 
 def near(v, top):
-    segs = C.segments(v("way_pt").where("way_id % 20 = 0"))
+    segs = C.segments(v("way_pt"))
     points = v("footprint").select(F.col("footprint_id").alias("point_id"), F.col("x").alias("px"), F.col("y").alias("py"))
     return G.nearest_segments(points, segs, 100, 256, top)
 

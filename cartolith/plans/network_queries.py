@@ -17,7 +17,7 @@ from cartolith.plans.fixtures import Register
 query = Register()
 QUERIES, SQL = query.queries, query.sql
 
-LINKS = "k AS (SELECT DISTINCT least(pole, nxt) AS a, greatest(pole, nxt) AS b FROM (SELECT node_id AS pole, lead(node_id) OVER (PARTITION BY way_id ORDER BY seq) AS nxt FROM {way_node} WHERE way_id % 50 = 0) WHERE nxt IS NOT NULL AND nxt <> pole)"
+LINKS = "k AS (SELECT DISTINCT least(pole, nxt) AS a, greatest(pole, nxt) AS b FROM (SELECT node_id AS pole, lead(node_id) OVER (PARTITION BY way_id ORDER BY seq) AS nxt FROM {way_node}) WHERE nxt IS NOT NULL AND nxt <> pole)"
 YAWS = """e AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k), v AS (SELECT e.a, e.b, CAST(q.x - p.x AS DOUBLE) AS dx, CAST(q.y - p.y AS DOUBLE) AS dy FROM e JOIN {node} p ON p.node_id = e.a JOIN {node} q ON q.node_id = e.b),
 u AS (SELECT a, b, dx / sqrt(dx * dx + dy * dy) AS ux, dy / sqrt(dx * dx + dy * dy) AS uy FROM v WHERE dx <> 0 OR dy <> 0),
 g AS (SELECT a, count(*) AS k, min_by(ux, b) AS fx, min_by(uy, b) AS fy, max_by(ux, b) AS lx, max_by(uy, b) AS ly, round(sum(ux), 9) AS sx, round(sum(uy), 9) AS sy FROM u GROUP BY a),
@@ -26,7 +26,7 @@ y AS (SELECT a, k, CASE WHEN k = 2 AND fx * lx + fy * ly < -0.85e0 THEN degrees(
 
 def yaws(v):
     poles = v("node").select(F.col("node_id").alias("pole"), "x", "y")
-    links = L.links(v("way_node").where("way_id % 50 = 0").select("way_id", "seq", F.col("node_id").alias("pole"), F.lit(1).alias("radius")))
+    links = L.links(v("way_node").select("way_id", "seq", F.col("node_id").alias("pole"), F.lit(1).alias("radius")))
     return N.headings(links, poles)
 
 
@@ -41,10 +41,10 @@ def _(v):
 
 
 def hits(v):
-    segs = C.segments(v("way_pt").where("way_id % 20 = 0"))
+    segs = C.segments(v("way_pt"))
     points = v("footprint").select(F.col("footprint_id").alias("point_id"), F.col("x").alias("px"), F.col("y").alias("py"))
     near = G.nearest_segments(points, segs, 100, 256)
-    starts = L.measured(v("way_pt").where("way_id % 20 = 0")).select("way_id", F.col("seq").alias("seg"), "start")
+    starts = L.measured(v("way_pt")).select("way_id", F.col("seq").alias("seg"), "start")
     return near.join(segs, ["way_id", "seg"]).join(points, "point_id").join(starts, ["way_id", "seg"])
 
 
@@ -95,17 +95,17 @@ def _(v):
     return N.dealt(v("mask"), 4).groupBy("asset").agg(F.count("*").alias("n"))
 
 
-LABELS = "WITH RECURSIVE m AS (SELECT y, x, y * 1048576 + x AS id FROM {mask} WHERE y < 40), e AS (SELECT a.id, b.id AS nb FROM m a JOIN m b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1), r AS (SELECT id, id AS label FROM m UNION SELECT e.nb, r.label FROM r JOIN e ON e.id = r.id WHERE r.label < e.nb), l AS (SELECT id // 1048576 AS y, id % 1048576 AS x, min(label) AS label FROM r GROUP BY id)"
+LABELS = "WITH RECURSIVE m AS (SELECT y, x, y * 1048576 + x AS id FROM {mask}), e AS (SELECT a.id, b.id AS nb FROM m a JOIN m b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1), r AS (SELECT id, id AS label FROM m UNION SELECT e.nb, r.label FROM r JOIN e ON e.id = r.id WHERE r.label < e.nb), l AS (SELECT id // 1048576 AS y, id % 1048576 AS x, min(label) AS label FROM r GROUP BY id)"
 
 
 @query("WIN_19_component_sample", f"{LABELS}, c AS (SELECT *, avg(y) OVER w AS cy, avg(x) OVER w AS cx, count(*) OVER w AS n, row_number() OVER (PARTITION BY label ORDER BY y, x) - 1 AS k FROM l WINDOW w AS (PARTITION BY label)), d AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round((y - cy) * (y - cy) + (x - cx) * (x - cx), 6), y, x) AS nearest FROM c) SELECT label, y, x, CASE WHEN nearest = 1 THEN 'centre' ELSE 'step' END AS kind FROM d WHERE nearest = 1 OR (n > 5 AND k % 5 = 0)")
 def _(v):
-    return N.sampled_components(R.components(v("mask").where("y < 40")), 5)
+    return N.sampled_components(R.components(v("mask")), 5)
 
 
 @query("RAS_16_small_components", f"{LABELS}, s AS (SELECT label FROM l GROUP BY label HAVING count(*) >= 3) SELECT y, x FROM l SEMI JOIN s USING (label)")
 def _(v):
-    labelled = R.components(v("mask").where("y < 40"))
+    labelled = R.components(v("mask"))
     large = labelled.groupBy("label").agg(F.count("*").alias("n")).where("n >= 3")
     return labelled.join(large, "label", "left_semi").select("y", "x")
 
@@ -151,18 +151,18 @@ def _(v):
     return kept.groupBy("way_id").agg(F.count("*").alias("parts"))
 
 
-@query("POLY_12_field_padding", "SELECT feature_id, CASE WHEN w >= 12 AND h >= 12 THEN (w - 11) * (h - 11) ELSE (w + 1) * (h + 1) END AS cells FROM {rect} WHERE feature_id % 10 = 0")
+@query("POLY_12_field_padding", "SELECT feature_id, CASE WHEN w >= 6 AND h >= 6 THEN (w - 5) * (h - 5) ELSE (w + 1) * (h + 1) END AS cells FROM {rect}")
 def _(v):
-    cells = C.fill_rectangles(v("rect").where("feature_id % 10 = 0")).select("feature_id", "x", "y")
-    inset = C.eroded(cells, 6, 8192, 8192, ("feature_id",))
+    cells = C.fill_rectangles(v("rect")).select("feature_id", "x", "y")
+    inset = C.eroded(cells, 3, 8192, 8192, ("feature_id",))
     rest = cells.join(inset.select("feature_id").distinct(), "feature_id", "left_anti")
     return inset.unionByName(rest.select("feature_id", "x", "y")).groupBy("feature_id").agg(F.count("*").alias("cells"))
 
 
-@query("POLY_16_line_components", "WITH RECURSIVE e AS (SELECT DISTINCT a.way_id AS a, b.way_id AS b FROM {way_node} a JOIN {way_node} b ON a.node_id = b.node_id AND a.way_id % 60 = 0 AND b.way_id % 60 = 0), r AS (SELECT a AS id, a AS label FROM e UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.id WHERE r.label < e.b) SELECT id AS way_id, min(label) AS component FROM r GROUP BY id")
-def _(v):
+@query("POLY_16_line_components")
+def POLY_16(v):
     """Ways that share a node are connected; the shared nodes are the hubs, so no pairs of ways are made."""
-    own = v("way_node").where("way_id % 60 = 0").select("way_id", "node_id").distinct()
+    own = v("way_node").select("way_id", "node_id").distinct()
     labels = own.select("way_id").distinct().withColumn("component", F.col("way_id"))
     while True:
         hubs = own.join(labels, "way_id").groupBy("node_id").agg(F.min("component").alias("low"))

@@ -83,9 +83,9 @@ def _(v):
     return v("dem").agg((F.max("v") / 255.0).cast("long").alias("hi"), (F.min("v") / 255.0).cast("long").alias("lo"))
 
 
-@query("AGG_12_footprint_levelling", "SELECT y // 10 AS f, CAST(round_even(avg(v), 0) AS BIGINT) AS level FROM {dem} WHERE x < 10 GROUP BY 1")
+@query("AGG_12_footprint_levelling", "SELECT (y // 10) * 4 + x // 16 AS f, CAST(round_even(avg(v), 0) AS BIGINT) AS level FROM {dem} GROUP BY 1")
 def _(v):
-    return v("dem").where("x < 10").groupBy(F.expr("y div 10").alias("f")).agg(F.bround(F.avg("v")).cast("long").alias("level"))
+    return v("dem").groupBy(F.expr("(y div 10) * 4 + x div 16").alias("f")).agg(F.bround(F.avg("v")).cast("long").alias("level"))
 
 
 @query("AGG_13_station_window_mean", "SELECT s.y AS station, round(avg(d.v), 4) AS v FROM (SELECT DISTINCT y FROM {dem} WHERE y % 50 = 0) s JOIN {dem} d ON d.y BETWEEN s.y - 5 AND s.y + 5 AND d.x BETWEEN 27 AND 37 GROUP BY s.y")
@@ -130,14 +130,14 @@ def _(v):
     return R.masked_replace(v("dem"), lowered, v("mask")).withColumn("v", F.greatest(F.lit(0), F.col("v")))
 
 
-@query("RAS_15_components", "WITH RECURSIVE m AS (SELECT y, x, y * 1048576 + x AS id FROM {mask} WHERE y < 40), e AS (SELECT a.id, b.id AS nb FROM m a JOIN m b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1), r AS (SELECT id, id AS label FROM m UNION SELECT e.nb, r.label FROM r JOIN e ON e.id = r.id WHERE r.label < e.nb) SELECT id // 1048576 AS y, id % 1048576 AS x, min(label) AS label FROM r GROUP BY id")
+@query("RAS_15_components", "WITH RECURSIVE m AS (SELECT y, x, y * 1048576 + x AS id FROM {mask}), e AS (SELECT a.id, b.id AS nb FROM m a JOIN m b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1), r AS (SELECT id, id AS label FROM m UNION SELECT e.nb, r.label FROM r JOIN e ON e.id = r.id WHERE r.label < e.nb) SELECT id // 1048576 AS y, id % 1048576 AS x, min(label) AS label FROM r GROUP BY id")
 def _(v):
-    return R.components(v("mask").where("y < 40"))
+    return R.components(v("mask"))
 
 
-@query("AGG_28_component_statistics", "WITH RECURSIVE m AS (SELECT y, x, y * 1048576 + x AS id FROM {mask} WHERE y < 40), e AS (SELECT a.id, b.id AS nb FROM m a JOIN m b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1), r AS (SELECT id, id AS label FROM m UNION SELECT e.nb, r.label FROM r JOIN e ON e.id = r.id WHERE r.label < e.nb), l AS (SELECT id // 1048576 AS y, id % 1048576 AS x, min(label) AS label FROM r GROUP BY id) SELECT label, count(*) AS area, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM l GROUP BY label")
+@query("AGG_28_component_statistics", "WITH RECURSIVE m AS (SELECT y, x, y * 1048576 + x AS id FROM {mask}), e AS (SELECT a.id, b.id AS nb FROM m a JOIN m b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1), r AS (SELECT id, id AS label FROM m UNION SELECT e.nb, r.label FROM r JOIN e ON e.id = r.id WHERE r.label < e.nb), l AS (SELECT id // 1048576 AS y, id % 1048576 AS x, min(label) AS label FROM r GROUP BY id) SELECT label, count(*) AS area, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM l GROUP BY label")
 def _(v):
-    return R.components(v("mask").where("y < 40")).groupBy("label").agg(F.count("*").alias("area"), F.round(F.avg("x"), 6).alias("cx"), F.round(F.avg("y"), 6).alias("cy"))
+    return R.components(v("mask")).groupBy("label").agg(F.count("*").alias("area"), F.round(F.avg("x"), 6).alias("cx"), F.round(F.avg("y"), 6).alias("cy"))
 
 
 @query("RAS_19_centre_cut", "SELECT y - 150 AS y, x - 16 AS x, v FROM {dem} WHERE x BETWEEN 16 AND 47 AND y BETWEEN 150 AND 349")
