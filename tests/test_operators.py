@@ -59,3 +59,13 @@ def test_closure_survives_cycles(spark):
 def test_all_zero_grid_is_an_error(spark):
     with pytest.raises(Exception, match="all cells are zero"):
         raster.checked(spark.createDataFrame([(0, 0, 0)], "y long, x long, v long")).collect()
+
+
+def test_line_components_equal_union_find(spark, monkeypatch):
+    from cartolith.plans import network_queries
+
+    own = [(1, 0, 10), (1, 1, 11), (2, 0, 11), (3, 0, 12), (4, 0, 13), (4, 1, 12), (5, 0, 99)]
+    frame = spark.createDataFrame(own, "way_id long, seq long, node_id long")
+    build = network_queries.POLY_16
+    found = dict(map(tuple, build(lambda name: frame).collect()))
+    assert found == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
