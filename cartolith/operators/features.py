@@ -102,13 +102,13 @@ def dense_ids(df: DataFrame, order: list[str], start: int = 0, down: bool = Fals
 
     Rows are range-partitioned and numbered inside partitions; partition counts give the offsets.
     """
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    numbered = dealt.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1)
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    numbered = dealt.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
     numbered = numbered.checkpoint()
-    counts = numbered.groupBy("part").agg(F.count("*").alias("n"))
-    offsets = counts.withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "base")
-    number = F.col("base") + F.col("k")
-    return numbered.join(F.broadcast(offsets), "part").withColumn("new_id", (F.lit(start) - number if down else F.lit(start) + number).cast("long")).drop("part", "k", "base")
+    counts = numbered.groupBy("__part").agg(F.count("*").alias("__n"))
+    offsets = counts.withColumn("__base", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).select("__part", "__base")
+    number = F.col("__base") + F.col("__k")
+    return numbered.join(F.broadcast(offsets), "__part").withColumn("new_id", (F.lit(start) - number if down else F.lit(start) + number).cast("long")).drop("__part", "__k", "__base")
 
 
 def first_category(entries: DataFrame, wanted: DataFrame, default: str) -> DataFrame:
