@@ -27,6 +27,7 @@ def forest(fp: np.ndarray, max_bits: int, accept: Callable[[int, int], bool] | N
     accept(i, j), if given, must also hold for an edge. Each position joins the
     walk once and is compared only with positions not yet reached.
     """
+    fp = fp.astype(np.int64, copy=False).view(np.uint64)  # of a negative number only the absolute value's bits are counted
     left = np.arange(len(fp))
     while len(left):
         queue, left = [left[0]], left[1:]

@@ -358,6 +358,32 @@ def test_fuzzy_lines_equal_brute_force(spark, monkeypatch):
         assert found == {d: "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in source.items()}
 
 
+def test_similar_lines_go_whatever_their_simhash(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pool = [w for t in texts(spark).values() for x in t.split("\n") for w in lines.normalised(x)]
+    own = []
+    for n in [5, 6, 8, 10, 12, 15, 17, 18, 20, 25, 40, 80] * 5:
+        words = [str(w) for w in rng.choice(pool, n)]
+        other = list(words)
+        for k in rng.choice(n, max(1, n // 8), replace=False):
+            other[k] = str(rng.choice(pool))
+        own += [" ".join(words), " ".join(other)]
+    group = list(range(len(own)))
+    for i, j in itertools.combinations(range(len(own)), 2):
+        if lines.similar(own[i], own[j]):
+            group = [group[i] if g == group[j] else g for g in group]
+    want = {k for k, g in enumerate(group) if g not in group[:k]}
+    assert len(want) < 80
+    frame = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    for small in (linking.SMALL_BUCKET, 1):
+        monkeypatch.setattr(linking, "SMALL_BUCKET", small)
+        assert {r.doc_id for r in lines.deduplicated(frame).collect() if r.text} == want
+
+
+def test_all_bits_of_fingerprints_count():
+    assert list(linking.forest(np.array([0, -1, -2], dtype=np.int64), 3)) == [(1, 2)]
+
+
 def test_line_edges(spark, docs):
     found = lines.deduplicated(docs).collect()
     assert len(found) == len(ROWS) and Counter(r.text for r in found if r.doc_id in (1, 2)) == {"The Same text of a few words here\nand more": 1, "and more": 2}
