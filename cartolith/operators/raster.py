@@ -17,6 +17,12 @@ def profile(cells: DataFrame) -> DataFrame:
     return cells.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), (F.max("v") - F.min("v")).alias("spread"), F.count("*").alias("n"), F.count_if(F.col("v") != 0).alias("n_set"))
 
 
+def extent(cells: DataFrame) -> tuple[int, int]:
+    """(width, height) of a grid that starts at (0, 0), read from its cells; (0, 0) without any."""
+    found = cells.agg(F.max("x"), F.max("y")).first()
+    return tuple(0 if n is None else n + 1 for n in found)
+
+
 def checked(cells: DataFrame) -> DataFrame:
     """One row: the cell count, or an error when all cells are zero."""
     return cells.agg(F.when(F.count_if(F.col("v") != 0) == 0, F.raise_error(F.lit("all cells are zero"))).otherwise(F.count("*")).cast("long").alias("n"))
@@ -82,6 +88,13 @@ def gaussian(n: int, sigma: float) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
+def centre_cut(cells: DataFrame, width: int, height: int, half_x: int, half_y: int) -> DataFrame:
+    """The cells within half a size of the grid's centre; places count from the cut's corner."""
+    x0, y0 = width // 2 - half_x, height // 2 - half_y
+    inside = F.col("x").between(x0, x0 + 2 * half_x - 1) & F.col("y").between(y0, y0 + 2 * half_y - 1)
+    return cells.where(inside).select((F.col("y") - y0).alias("y"), (F.col("x") - x0).alias("x"), "v")
+
+
 def blurred(cells: DataFrame, width: int, height: int, weights: list[float]) -> DataFrame:
     return convolved_1d(convolved_1d(cells, "x", width, weights), "y", height, weights)
 

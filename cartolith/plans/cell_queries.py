@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cartolith.operators import cells as C
 from cartolith.plans.fixtures import Register
+from cartolith.plans.raster_queries import extent
 
 query = Register()
 QUERIES, SQL = query.queries, query.sql
@@ -156,12 +157,12 @@ def _(v):
 
 @query("RAS_04_dilation", "SELECT DISTINCT x + dx.range AS x, y + dy.range AS y FROM {mask}, range(-1, 2) dx, range(-1, 2) dy WHERE x + dx.range BETWEEN 0 AND 63 AND y + dy.range BETWEEN 0 AND 499")
 def _(v):
-    return C.dilated(v("mask"), 1, 64, 500)
+    return C.dilated(v("mask"), 1, *extent(v))
 
 
 @query("RAS_03_erosion", "SELECT y, x FROM {soil} s WHERE class <> 3 AND NOT EXISTS (SELECT 1 FROM {soil} q WHERE q.class = 3 AND abs(q.x - s.x) <= 1 AND q.y BETWEEN s.y - 1 AND s.y + 1)")
 def _(v):
-    return C.eroded(v("soil").where("class <> 3"), 1, 64, 500)
+    return C.eroded(v("soil").where("class <> 3"), 1, *extent(v))
 
 
 @query("POLY_09_inset", "WITH p AS (SELECT feature_id, x0 + 1 AS a, x0 + w - 1 AS b, y0 + 1 AS c, y0 + h - 1 AS d FROM {rect}) SELECT feature_id, (b - a + 1) * (d - c + 1) AS cells FROM p")
@@ -173,13 +174,15 @@ def _(v):
 @query("RAS_08_edge_rim", "WITH d AS (SELECT DISTINCT x + dx.range AS x, y + dy.range AS y FROM {soil}, range(-1, 2) dx, range(-1, 2) dy WHERE class = 0 AND x + dx.range BETWEEN 0 AND 63 AND y + dy.range BETWEEN 0 AND 499), e AS (SELECT y, x FROM {soil} s WHERE class = 0 AND NOT EXISTS (SELECT 1 FROM {soil} q WHERE q.class <> 0 AND abs(q.x - s.x) <= 1 AND q.y BETWEEN s.y - 1 AND s.y + 1)) SELECT x, y FROM d ANTI JOIN e USING (x, y)")
 def _(v):
     own = v("soil").where("class = 0")
-    return C.difference(C.dilated(own, 1, 64, 500), C.eroded(own, 1, 64, 500))
+    size = extent(v)
+    return C.difference(C.dilated(own, 1, *size), C.eroded(own, 1, *size))
 
 
 @query("POLY_10_opening", "WITH e AS (SELECT y, x FROM {soil} s WHERE class <> 3 AND NOT EXISTS (SELECT 1 FROM {soil} q WHERE q.class = 3 AND abs(q.x - s.x) <= 1 AND q.y BETWEEN s.y - 1 AND s.y + 1)) SELECT DISTINCT x + dx.range AS x, y + dy.range AS y FROM e, range(-1, 2) dx, range(-1, 2) dy WHERE x + dx.range BETWEEN 0 AND 63 AND y + dy.range BETWEEN 0 AND 499")
 def _(v):
     own = v("soil").where("class <> 3")
-    return C.dilated(C.eroded(own, 1, 64, 500), 1, 64, 500).join(own.select("x", "y"), ["x", "y"], "left_semi")
+    size = extent(v)
+    return C.dilated(C.eroded(own, 1, *size), 1, *size).join(own.select("x", "y"), ["x", "y"], "left_semi")
 
 
 @query("SRC_12_zero_grid", "SELECT a.range AS x, b.range AS y, 0 AS v FROM range(135) a, range(135) b")

@@ -13,6 +13,7 @@ from cartolith.operators import network as N
 from cartolith.operators import raster as R
 from cartolith.plans.feature_queries import KINDS, NEAR, wanted
 from cartolith.plans.fixtures import Register
+from cartolith.plans.raster_queries import extent
 
 query = Register()
 QUERIES, SQL = query.queries, query.sql
@@ -113,7 +114,7 @@ def _(v):
 @query("AGG_30_border_mode", "WITH i AS (SELECT DISTINCT y, x FROM {soil} WHERE class = 0), d AS (SELECT DISTINCT y + a.range AS y, x + b.range AS x FROM i, range(-1, 2) a, range(-1, 2) b) SELECT class, count(*) AS n FROM {soil} SEMI JOIN d USING (y, x) ANTI JOIN i USING (y, x) GROUP BY class")
 def _(v):
     own = v("soil").where("class = 0")
-    rim = C.difference(C.dilated(own, 1, 64, 500), own)
+    rim = C.difference(C.dilated(own, 1, *extent(v)), own)
     return v("soil").join(rim, ["y", "x"], "left_semi").groupBy("class").agg(F.count("*").alias("n"))
 
 
@@ -177,13 +178,13 @@ def POLY_16(v):
 
 @query("RAS_02_quarter_rotation", "SELECT x AS y, 499 - y AS x, v FROM {dem}")
 def _(v):
-    return v("dem").select(F.col("x").alias("y"), (499 - F.col("y")).alias("x"), "v")
+    return v("dem").select(F.col("x").alias("y"), (extent(v)[1] - 1 - F.col("y")).alias("x"), "v")
 
 
 @query("RAS_09_normalised_convolution", "WITH m AS (SELECT * FROM {dem} WHERE v > 68000) SELECT c.y, c.x, round(avg(o.v), 4) AS v FROM m c JOIN m o ON o.y BETWEEN c.y - 1 AND c.y + 1 AND o.x BETWEEN c.x - 1 AND c.x + 1 GROUP BY c.y, c.x")
 def _(v):
     own = v("dem").where("v > 68000")
-    near = R.neighbourhood(own, "v", 1, 64, 500).groupBy("y", "x").agg((F.sum("n") / F.count("*")).alias("v"))
+    near = R.neighbourhood(own, "v", 1, *extent(v)).groupBy("y", "x").agg((F.sum("n") / F.count("*")).alias("v"))
     return near.join(own.select("y", "x"), ["y", "x"], "left_semi").select("y", "x", F.round("v", 4).alias("v"))
 
 
@@ -195,15 +196,18 @@ def _(v):
 @query("RAS_22_ground_cover", "SELECT y, x, CASE class WHEN 1 THEN 33 ELSE 131 END AS code FROM {soil} WHERE class IN (1, 2) AND x BETWEEN 1 AND 62 AND y BETWEEN 1 AND 498")
 def _(v):
     legend = v.spark.createDataFrame([(1, 33), (2, 131)], "class long, code int")
-    return v("soil").where("x BETWEEN 1 AND 62 AND y BETWEEN 1 AND 498").join(F.broadcast(legend), "class").select("y", "x", "code")
+    width, height = extent(v)
+    return v("soil").where(F.col("x").between(1, width - 2) & F.col("y").between(1, height - 2)).join(F.broadcast(legend), "class").select("y", "x", "code")
 
 
 @query("MESH_04_quadrants", "WITH f AS (SELECT (y // 8) * 7 + x // 8 AS q, x + CASE t.range WHEN 0 THEN 8 / 3e0 ELSE 16 / 3e0 END AS cx, y + CASE t.range WHEN 0 THEN 16 / 3e0 ELSE 8 / 3e0 END AS cy FROM {dem}, range(2) t WHERE x % 8 = 0 AND y % 8 = 0 AND x // 8 < 7 AND y // 8 < 62) SELECT cx - 28 <= 0 AS west, cy - 248 <= 0 AS north, count(*) AS faces FROM f GROUP BY 1, 2")
 def _(v):
-    vertices, faces = R.mesh(v("dem"), 64, 500, 8)
+    width, height = extent(v)
+    vertices, faces = R.mesh(v("dem"), width, height, 8)
+    mid_x, mid_y = ((-(-n // 8) - 1) * 4 for n in (width, height))
     corner = faces.select("fid", F.explode(F.array("v1", "v2", "v3")).alias("vid")).join(vertices, "vid")
     centre = corner.groupBy("fid").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    return centre.groupBy((F.col("cx") - 28 <= 0).alias("west"), (F.col("cy") - 248 <= 0).alias("north")).agg(F.count("*").alias("faces"))
+    return centre.groupBy((F.col("cx") - mid_x <= 0).alias("west"), (F.col("cy") - mid_y <= 0).alias("north")).agg(F.count("*").alias("faces"))
 
 
 @query("MESH_06_line_strip", "SELECT way_id, 2 * count(*) AS vertices, 2 * (count(*) - 1) AS faces FROM {way_pt} GROUP BY way_id HAVING count(*) >= 2")
@@ -246,4 +250,4 @@ def _(v):
 
 @query("JOB_06_soil_share", "WITH c AS (SELECT c.y, c.x, o.class, count(*) AS n FROM {soil} c JOIN {soil} o ON o.y BETWEEN c.y - 1 AND c.y + 1 AND o.x BETWEEN c.x - 1 AND c.x + 1 GROUP BY ALL), s AS (SELECT y, x, arg_max(class, (n, -class)) AS class FROM c GROUP BY y, x) SELECT class, count(*) AS n, round(count(*) / 32000e0, 6) AS share FROM s GROUP BY class")
 def _(v):
-    return R.shares(R.majority(v("soil"), 1, 64, 500))
+    return R.shares(R.majority(v("soil"), 1, *extent(v)))

@@ -9,10 +9,14 @@ from cartolith.plans.fixtures import Register
 
 query = Register()
 QUERIES, SQL = query.queries, query.sql
-W, H = 64, 500
 NEAR = "n AS (SELECT c.y, c.x, o.v, o.y - c.y AS dy, o.x - c.x AS dx FROM {dem} c JOIN {dem} o ON o.y BETWEEN c.y - 1 AND c.y + 1 AND o.x BETWEEN c.x - 1 AND c.x + 1)"
 
 
+def extent(v):
+    """(width, height) of the elevation grid."""
+    return R.extent(v("dem"))
+
+
 @query("AGG_07_grid_profile", "SELECT min(v) AS lo, max(v) AS hi, max(v) - min(v) AS spread, count(*) AS n, count(*) FILTER (v <> 0) AS n_set FROM {dem}")
 def _(v):
     return R.profile(v("dem"))
@@ -60,7 +64,8 @@ def _(v):
 
 @query("AGG_16_nonzero_bounds", "SELECT min(x) AS left, 63 - max(x) AS right, min(y) AS top, 499 - max(y) AS bottom FROM {mask}")
 def _(v):
-    return v("mask").agg(F.min("x").alias("left"), (W - 1 - F.max("x")).alias("right"), F.min("y").alias("top"), (H - 1 - F.max("y")).alias("bottom"))
+    width, height = extent(v)
+    return v("mask").agg(F.min("x").alias("left"), (width - 1 - F.max("x")).alias("right"), F.min("y").alias("top"), (height - 1 - F.max("y")).alias("bottom"))
 
 
 @query("AGG_17_extremes_under_mask", "WITH u AS (SELECT * FROM {dem} WHERE v > 68000), a AS (SELECT v AS lo, y AS lo_y, x AS lo_x FROM u ORDER BY v, y, x LIMIT 1), b AS (SELECT v AS hi, y AS hi_y, x AS hi_x FROM u ORDER BY v DESC, y, x LIMIT 1) SELECT * FROM a, b")
@@ -75,7 +80,7 @@ def _(v):
 
 @query("AGG_29_local_majority", "WITH c AS (SELECT c.y, c.x, o.class, count(*) AS n FROM {soil} c JOIN {soil} o ON o.y BETWEEN c.y - 1 AND c.y + 1 AND o.x BETWEEN c.x - 1 AND c.x + 1 GROUP BY ALL) SELECT y, x, arg_max(class, (n, -class)) AS class FROM c GROUP BY y, x")
 def _(v):
-    return R.majority(v("soil"), 1, W, H)
+    return R.majority(v("soil"), 1, *extent(v))
 
 
 @query("AGG_34_elevation_metres", "SELECT CAST(trunc(max(v) / 255e0) AS BIGINT) AS hi, CAST(trunc(min(v) / 255e0) AS BIGINT) AS lo FROM {dem}")
@@ -90,13 +95,13 @@ def _(v):
 
 @query("AGG_13_station_window_mean", "SELECT s.y AS station, round(avg(d.v), 4) AS v FROM (SELECT DISTINCT y FROM {dem} WHERE y % 50 = 0) s JOIN {dem} d ON d.y BETWEEN s.y - 5 AND s.y + 5 AND d.x BETWEEN 27 AND 37 GROUP BY s.y")
 def _(v):
-    stations = v.spark.range(0, H, 50).select(F.col("id").alias("station"), F.explode(F.sequence(F.col("id") - 5, F.col("id") + 5)).alias("y"))
+    stations = v.spark.range(0, extent(v)[1], 50).select(F.col("id").alias("station"), F.explode(F.sequence(F.col("id") - 5, F.col("id") + 5)).alias("y"))
     return v("dem").where("x BETWEEN 27 AND 37").join(F.broadcast(stations), "y").groupBy("station").agg(F.round(F.avg("v"), 4).alias("v"))
 
 
 @query("RAS_01_resize_nearest", "SELECT y.range AS y, x.range AS x, v FROM range(250) y, range(96) x JOIN {dem} d ON d.y = y.range * 500 // 250 AND d.x = x.range * 64 // 96")
 def _(v):
-    return R.resized_nearest(v("dem"), W, H, 96, 250)
+    return R.resized_nearest(v("dem"), *extent(v), 96, 250)
 
 
 @query("RAS_01_resize_area", "SELECT y // 4 AS y, x // 4 AS x, round(avg(v), 4) AS v FROM {dem} GROUP BY 1, 2")
@@ -106,7 +111,7 @@ def _(v):
 
 @query("RAS_05_blur", "WITH k AS (SELECT * FROM (VALUES (-1, 0.25e0), (0, 0.5e0), (1, 0.25e0)) k(o, w)), a AS (SELECT t.y, t.x, sum(s.v * w) AS v FROM {dem} t, k JOIN {dem} s ON s.y = t.y AND s.x = CASE WHEN t.x + o < 0 THEN -(t.x + o) WHEN t.x + o > 63 THEN 126 - t.x - o ELSE t.x + o END GROUP BY t.y, t.x) SELECT t.y, t.x, round(sum(s.v * w), 4) AS v FROM a t, k JOIN a s ON s.x = t.x AND s.y = CASE WHEN t.y + o < 0 THEN -(t.y + o) WHEN t.y + o > 499 THEN 998 - t.y - o ELSE t.y + o END GROUP BY t.y, t.x")
 def _(v):
-    return R.blurred(v("dem"), W, H, [0.25, 0.5, 0.25]).select("y", "x", F.round("v", 4).alias("v"))
+    return R.blurred(v("dem"), *extent(v), [0.25, 0.5, 0.25]).select("y", "x", F.round("v", 4).alias("v"))
 
 
 @query("RAS_07_masked_replace", "SELECT y, x, CASE WHEN v > 68000 THEN 0 ELSE v END AS v FROM {dem}")
@@ -116,12 +121,12 @@ def _(v):
 
 @query("RAS_10_gradient", f"WITH {NEAR} SELECT y, x, CAST(pow(sum(v * dx * CASE WHEN dy = 0 THEN 2 ELSE 1 END), 2) + pow(sum(v * dy * CASE WHEN dx = 0 THEN 2 ELSE 1 END), 2) AS BIGINT) AS g2 FROM n GROUP BY y, x HAVING count(*) = 9")
 def _(v):
-    return R.gradient(v("dem"), W, H)
+    return R.gradient(v("dem"), *extent(v))
 
 
 @query("RAS_10_relief", f"WITH {NEAR} SELECT y, x, max(v) - min(v) AS relief FROM n GROUP BY y, x")
 def _(v):
-    return R.relief(v("dem"), 1, W, H)
+    return R.relief(v("dem"), 1, *extent(v))
 
 
 @query("RAS_13_lower_water", "SELECT y, x, greatest(0, CASE WHEN v > 68000 THEN v - 2000 ELSE v END) AS v FROM {dem}")
@@ -142,7 +147,7 @@ def _(v):
 
 @query("RAS_19_centre_cut", "SELECT y - 150 AS y, x - 16 AS x, v FROM {dem} WHERE x BETWEEN 16 AND 47 AND y BETWEEN 150 AND 349")
 def _(v):
-    return v("dem").where("x BETWEEN 16 AND 47 AND y BETWEEN 150 AND 349").select((F.col("y") - 150).alias("y"), (F.col("x") - 16).alias("x"), "v")
+    return R.centre_cut(v("dem"), *extent(v), 16, 100)
 
 
 @query("RAS_20_environment_grid", "SELECT y, x, (CASE class WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END + CASE WHEN v > 68000 THEN 8 ELSE 0 END) % 256 AS code FROM {soil} JOIN {dem} USING (y, x)")
@@ -164,13 +169,14 @@ def _(v):
 
 @query("RAS_27_validate_grid", "SELECT count(*) = 32000 AND min(v) >= 0 AS ok FROM {dem}")
 def _(v):
-    return v("dem").agg(((F.count("*") == W * H) & (F.min("v") >= 0)).alias("ok"))
+    width, height = extent(v)
+    return v("dem").agg(((F.count("*") == width * height) & (F.min("v") >= 0)).alias("ok"))
 
 
 @query("JOIN_12_elevation_at_points", "SELECT footprint_id, round(v * 0.5e0, 4) AS z FROM {footprint} f JOIN {dem} d ON d.x = least(63, f.x // 50) AND d.y = least(499, f.y // 7)")
 def _(v):
     points = v("footprint").select("footprint_id", F.expr("x div 50").alias("px"), F.expr("y div 7").alias("py"))
-    return R.sampled(v("dem"), points, W, H, 0.5).select("footprint_id", F.round("z", 4).alias("z"))
+    return R.sampled(v("dem"), points, *extent(v), 0.5).select("footprint_id", F.round("z", 4).alias("z"))
 
 
 @query("JOIN_13_elevation_with_default", "SELECT footprint_id, coalesce(v, 200) AS z FROM {footprint} f LEFT JOIN {dem} d ON d.x = f.x // 40 AND d.y = f.y // 7")
@@ -193,29 +199,30 @@ def _(v):
 
 @query("MESH_01_vertices", "SELECT (y // 8) * 8 + x // 8 AS vid, x, y, hi - v AS z FROM {dem}, (SELECT max(v) AS hi FROM {dem}) WHERE x % 8 = 0 AND y % 8 = 0")
 def _(v):
-    return R.mesh(v("dem"), W, H, 8)[0]
+    return R.mesh(v("dem"), *extent(v), 8)[0]
 
 
 @query("MESH_01_faces", "SELECT q * 2 + t.range AS fid, a AS v1, CASE WHEN t.range = 0 THEN a + 8 ELSE a + 9 END AS v2, CASE WHEN t.range = 0 THEN a + 9 ELSE a + 1 END AS v3 FROM (SELECT (y // 8) * 8 + x // 8 AS a, (y // 8) * 7 + x // 8 AS q FROM {dem} WHERE x % 8 = 0 AND y % 8 = 0 AND x // 8 < 7 AND y // 8 < 62), range(2) t")
 def _(v):
-    return R.mesh(v("dem"), W, H, 8)[1]
+    return R.mesh(v("dem"), *extent(v), 8)[1]
 
 
 @query("MESH_02_affine", "SELECT (y // 8) * 8 + x // 8 AS vid, round((63 - x) * 2.0e0, 4) AS px, round((499 - y) * 2.0e0, 4) AS py FROM {dem} WHERE x % 8 = 0 AND y % 8 = 0")
 def _(v):
-    return R.mesh(v("dem"), W, H, 8)[0].select("vid", ((W - 1 - F.col("x")) * 2.0).alias("px"), ((H - 1 - F.col("y")) * 2.0).alias("py"))
+    width, height = extent(v)
+    return R.mesh(v("dem"), width, height, 8)[0].select("vid", ((width - 1 - F.col("x")) * 2.0).alias("px"), ((height - 1 - F.col("y")) * 2.0).alias("py"))
 
 
 @query("MESH_03_ground_uv", "SELECT (y // 8) * 8 + x // 8 AS vid, round(x / 56e0, 6) AS u, round(1 - y / 496e0, 6) AS w FROM {dem} WHERE x % 8 = 0 AND y % 8 = 0")
 def _(v):
-    vertices = R.mesh(v("dem"), W, H, 8)[0]
+    vertices = R.mesh(v("dem"), *extent(v), 8)[0]
     box = R.with_scalars(vertices, F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     return box.select("vid", F.round((F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0")), 6).alias("u"), F.round(1 - (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0")), 6).alias("w"))
 
 
 @query("AGG_32_mesh_extents", "SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM {dem} WHERE x % 8 = 0 AND y % 8 = 0")
 def _(v):
-    vertices = R.mesh(v("dem"), W, H, 8)[0]
+    vertices = R.mesh(v("dem"), *extent(v), 8)[0]
     return vertices.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.round(F.avg("x"), 6).alias("cx"), F.round(F.avg("y"), 6).alias("cy"))
 
 
