@@ -18,7 +18,7 @@ def way_kinds(geometry: DataFrame) -> DataFrame:
     return counts.select("way_id", "n", F.when(F.col("n") >= 4, "polygon").when(F.col("places") >= 2, "line").alias("kind")).where("kind IS NOT NULL")
 
 
-def closure(members: DataFrame, roots: DataFrame, rounds: int = 10) -> DataFrame:
+def closure(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, rel_id): every relation reachable from a root through relation members, the root included.
 
     One join per nesting level; ends as soon as a level adds nothing, so cycles are harmless.
@@ -26,7 +26,7 @@ def closure(members: DataFrame, roots: DataFrame, rounds: int = 10) -> DataFrame
     step = members.where("type = 'relation'").select("rel_id", F.col("ref").alias("child"))
     found = roots.select(F.col("rel_id").alias("root"), "rel_id")
     fresh = found
-    for _ in range(rounds):
+    while True:
         fresh = fresh.join(step, "rel_id").select("root", F.col("child").alias("rel_id")).distinct().join(found, ["root", "rel_id"], "left_anti")
         fresh = fresh.checkpoint()
         if fresh.isEmpty():

@@ -146,7 +146,7 @@ def shares(cells: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(cells.agg(F.count("*").alias("total")))).select("class", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
-def components(cells: DataFrame, rounds: int = 60) -> DataFrame:
+def components(cells: DataFrame) -> DataFrame:
     """(y, x, label): 8-neighbour components of a cell set; label = smallest y * 2^20 + x of the component.
 
     Labels take the minimum of their neighbours, then jump to the label of the label's
@@ -157,7 +157,7 @@ def components(cells: DataFrame, rounds: int = 60) -> DataFrame:
     offsets = F.array(*[F.lit(dy * wide + dx).cast("long") for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)])
     edges = own.select("id", F.explode(offsets).alias("o")).select("id", (F.col("id") + F.col("o")).alias("to")).join(own.select(F.col("id").alias("to")), "to", "left_semi").checkpoint()
     labels = own.select("id", F.col("id").alias("label"))
-    for _ in range(rounds):
+    while True:
         low = edges.join(labels.select(F.col("id").alias("to"), "label"), "to").groupBy("id").agg(F.min("label").alias("low"))
         step = labels.join(low, "id", "left").select("id", F.col("label").alias("before"), F.least("label", F.coalesce("low", "label")).alias("label"))
         jump = step.select(F.col("id").alias("label"), F.col("label").alias("further"))

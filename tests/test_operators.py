@@ -56,6 +56,12 @@ def test_closure_survives_cycles(spark):
     assert rows(features.reached_ways(members, closed)) == [(1, 7)]
 
 
+def test_closure_goes_to_any_depth(spark):
+    members = spark.createDataFrame([(k, "relation", k + 1) for k in range(1, 13)] + [(13, "way", 7)], "rel_id long, type string, ref long")
+    closed = features.closure(members, spark.createDataFrame([(1,)], "rel_id long"))
+    assert rows(features.reached_ways(members, closed)) == [(1, 7)]
+
+
 def test_all_zero_grid_is_an_error(spark):
     with pytest.raises(Exception, match="all cells are zero"):
         raster.checked(spark.createDataFrame([(0, 0, 0)], "y long, x long, v long")).collect()
