@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A join side is broadcast only when its counted rows times its row width stay under this bound.
@@ -17,11 +18,13 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset on a single machine (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -65,15 +68,47 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int) -> DataFrame:
-    """Join with `small` broadcast if its counted size is under BROADCAST_BYTES, by shuffle otherwise.
+def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int | Column) -> DataFrame:
+    """Join with `small` broadcast if its size is under BROADCAST_BYTES, by shuffle otherwise.
 
-    `small` should be a staged table: it is counted here and read again by the join.
+    The size is the number of rows times row_bytes, or the sum of row_bytes where that is a
+    column (rows of no fixed size). `small` should be a staged table: it is counted here and
+    read again by the join.
     """
-    fits = small.limit(BROADCAST_BYTES // row_bytes + 1).count() * row_bytes <= BROADCAST_BYTES
+    if isinstance(row_bytes, Column):
+        fits = (small.agg(F.sum(row_bytes)).first()[0] or 0) <= BROADCAST_BYTES
+    else:
+        fits = small.limit(BROADCAST_BYTES // row_bytes + 1).count() * row_bytes <= BROADCAST_BYTES
     return big.join(F.broadcast(small) if fits else small.hint("shuffle_merge"), on, how)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The given names, each with underscores in front until no column has it (letter case aside)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def located(docs: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
+    """docs with two long columns that name a row for good, and the names of these columns.
+
+    A table as it is scanned, filtered or projected is told by file and row number, and not copied; any
+    other frame is staged first. A frame that repeats rows of a scan (a join) must be staged by the caller.
+    """
+    file, row = unused(docs.columns, "__file", "__at")
+    place = lambda df: df.select("*", F.xxhash64(df.metadataColumn("_metadata")["file_path"]).alias(file), df.metadataColumn("_metadata")["row_index"].alias(row))
+    try:
+        found = place(docs)
+        found.schema  # resolved here: frames that are no scan have no such column
+    except AnalysisException:
+        found = place(staged(docs, name))
+    return found, [file, row]
+
+
 def ascii_lower(col):
     """Lower-case A-Z only. A pure ASCII value takes the fast built-in path."""
     plain = F.octet_length(col) == F.length(col)
