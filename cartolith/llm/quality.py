@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartolith.llm.common import join_checked, staged
+from cartolith.llm.common import join_checked, located, staged
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -112,17 +112,16 @@ def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(totals)).select("bucket", weight.alias("w"))
 
 
-def scored(docs: DataFrame, labels: DataFrame, row: str | None = None) -> DataFrame:
-    """(row, doc_id, *BASE, score): one row per row of docs; row numbers them."""
-    number = F.col(row) if row else F.monotonically_increasing_id()
-    docs = docs.select(number.alias("row"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def scored(docs: DataFrame, labels: DataFrame, place: list[str]) -> DataFrame:
+    """(file, at, doc_id, *BASE, score): one row per row of docs; the columns `place` of docs tell its rows."""
+    docs = docs.select(F.col(place[0]).alias("file"), F.col(place[1]).alias("at"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     table = F.broadcast(staged(weights(docs, labels), "quality-weights"))  # BUCKETS rows of some 50 bytes at most
     words = docs.withColumn("words", words_of(F.col("text"))).withColumn("codes", codes_of(F.col("words")))
     # the counts are columns below the explode, so that they are computed per document
-    counted = with_repeated_words(words).select("row", "doc_id", "codes", *base_counts(F.col("text"), F.col("words")))
-    flat = counted.select("row", "doc_id", *BASE, F.explode_outer(grams(F.col("codes"))).alias("bucket"))
+    counted = with_repeated_words(words).select("file", "at", "doc_id", "codes", *base_counts(F.col("text"), F.col("words")))
+    flat = counted.select("file", "at", "doc_id", *BASE, F.explode_outer(grams(F.col("codes"))).alias("bucket"))
     # the rows of a document follow each other in one task, so nearly all is summed before the shuffle
-    summed = flat.join(table, "bucket", "left").groupBy("row", "doc_id", *BASE).agg(F.round(F.avg(F.get("w", F.coalesce(fold(), F.lit(0)))), 9).alias("score"))
+    summed = flat.join(table, "bucket", "left").groupBy("file", "at", "doc_id", *BASE).agg(F.round(F.avg(F.get("w", F.coalesce(fold(), F.lit(0)))), 9).alias("score"))
     return staged(summed, "quality-scores")
 
 
@@ -136,25 +135,31 @@ def threshold(scores: DataFrame, labels: DataFrame) -> DataFrame:
     return stats.select(F.coalesce(F.least("good", (F.col("good") + F.col("bad")) / 2), F.lit(0.0)).alias("threshold"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, row: str | None = None) -> DataFrame:
-    """(row, doc_id, *BASE, base_failed, kept, score, threshold)"""
-    scores = scored(docs, labels, row)
+def judged(docs: DataFrame, labels: DataFrame, place: list[str] | None = None) -> DataFrame:
+    """(file, at, doc_id, *BASE, base_failed, kept, score, threshold); the columns `place` of docs, if given, tell its rows."""
+    if place is None:
+        docs, place = located(docs.select("doc_id", "text"), "quality-rows")
+    scores = scored(docs, labels, place)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     both = scores.crossJoin(F.broadcast(threshold(scores, labels))).withColumn("base_failed", failed)
-    return both.select("row", "doc_id", *BASE, "base_failed", (~F.col("base_failed") & (F.coalesce("score", F.lit(0.0)) >= F.col("threshold"))).alias("kept"), "score", "threshold")
+    return both.select("file", "at", "doc_id", *BASE, "base_failed", (~F.col("base_failed") & (F.coalesce("score", F.lit(0.0)) >= F.col("threshold"))).alias("kept"), "score", "threshold")
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("row", "threshold")
+    return judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("file", "at", "threshold")
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go."""
-    numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "quality-rows")
-    scores = judged(numbered, spark.read.parquet(f"{sf_dir}/labels.parquet"), row="__row")
-    kept = staged(scores.where("kept").select(F.col("row").alias("__row")), "quality-kept")
-    return join_checked(numbered, kept, ["__row"], "left_semi", 16).select(*docs.columns)
+    """Pipeline stage: documents that the rules reject go.
+
+    Null and empty texts fail the base rules and go; repeated rows are judged each; a null document id has
+    no label; extra columns stay as they are; an empty table stays empty.
+    """
+    rows, place = located(docs, "quality-rows")
+    scores = judged(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), place)
+    kept = staged(scores.where("kept").select(F.col("file").alias(place[0]), F.col("at").alias(place[1])), "quality-kept")
+    return join_checked(rows, kept, place, "left_semi", 24).drop(*place)
 
 
 QUERIES = {"op4_quality": op4_quality}
