@@ -34,8 +34,8 @@ SEQUENCE = 2048
 END_ID = 1
 
 
-#: Texts of these characters only take the faster engine; all others are given to the tokenizer itself.
-UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u024f]")
+#: Texts without these characters and without control strings take the faster engine; all others are given to the tokenizer itself.
+UNUSUAL = "[^\t\n\r\x20-\x7e\u00c0-\u024f]"
 
 
 class TextIds:
@@ -52,7 +52,6 @@ class TextIds:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings inside texts are ordinary text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit into 16 bits")
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
@@ -60,11 +59,12 @@ class TextIds:
         others = [b for b in range(256) if b not in letters]
         byte = {chr(b): b for b in letters} | {chr(256 + k): b for k, b in enumerate(others)}
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.unusual = re.compile("|".join([UNUSUAL, *map(re.escape, special)]))
         ranks = {bytes(byte[c] for c in piece): k for piece, k in self.tokenizer.get_vocab().items() if piece not in special}
         self.engine = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
+        if self.unusual.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
         return np.array(self.engine.encode_ordinary(text), dtype="<u2").tobytes()
 
