@@ -7,7 +7,8 @@ their score. No piece has a space mark after another character, so the
 lattice falls apart at words. Only the N - 1 words with the smallest loss for
 their second-best segmentation can differ among the N best of a text: these
 words are searched; all others need their Viterbi segmentation only, which is
-kept per distinct word in two bounded generations.
+kept per distinct word; many new words of one length are searched together,
+one array element per word.
 
 A character without a piece of its own is an unknown node, written as byte
 pieces. Decoding joins the pieces' bytes and drops the mark that was put in
@@ -26,6 +27,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ SPACE = "▁"
 N_BEST = 4
 CACHE_WORDS = 800_000
 UNKNOWN_LOSS = 10.0
+FACTOR = 0x9E3779B97F4A7C15
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -64,8 +67,25 @@ class Segmenter:
         self.longest = max(map(len, self.pieces))
         ordinary = [s for _, s, _ in self.pieces.values() if s > -1e8]
         self.unknown = min(ordinary) - UNKNOWN_LOSS
-        self.known: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        #: Per kept word its number in the arrays below; the arrays start anew when CACHE_WORDS are kept.
+        self.number: dict[str, int] = {}
+        self.ids, self.scores, self.losses = [], np.zeros(1 << 16), np.zeros(1 << 16)
+        # pieces by a polynomial hash of their code points, sorted, and the scores and ids in that order
+        codes = [self._hash(p) for p in self.pieces]
+        if len(set(codes)) < len(codes):
+            raise ValueError("two pieces share a hash")
+        order = np.argsort(np.array(codes, dtype=np.uint64))
+        self.codes = np.array(codes, dtype=np.uint64)[order]
+        self.code_scores = np.array([v[1] for v in self.pieces.values()])[order]
+        self.code_ids = np.array([v[0] for v in self.pieces.values()], dtype=np.int32)[order]
+        self.letters = np.array([ord(p) + 1 for p in self.pieces if len(p) == 1], dtype=np.uint64)
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        code = 0
+        for c in piece:
+            code = (code * FACTOR + ord(c) + 1) % (1 << 64)
+        return code
 
     def lattice(self, word: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
         """Edges into every position as (from, score, ids), and the forward Viterbi scores."""
@@ -92,11 +112,16 @@ class Segmenter:
     def search(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """Up to n segmentations (score, ids) of a word, best first."""
         edges, best = self.lattice(word)
-        agenda: list[tuple[float, int, int, float, tuple | None]] = [(-best[-1], 0, len(word), 0.0, None)]
+        # equal priorities: the one nearer to the start first; a position's n first visits are those of its n best ends
+        agenda: list[tuple[float, int, int, float, tuple | None]] = [(-best[-1], len(word), 0, 0.0, None)]
+        visits = [0] * (len(word) + 1)
         out: list[tuple[float, tuple[int, ...]]] = []
         count = 0
         while agenda and len(out) < n:
-            _, _, at, tail, link = heapq.heappop(agenda)
+            _, at, _, tail, link = heapq.heappop(agenda)
+            visits[at] += 1
+            if visits[at] > n:
+                continue
             if at == 0:
                 ids: list[int] = []
                 while link is not None:
@@ -106,7 +131,8 @@ class Segmenter:
                 continue
             for i, score, own in edges[at]:
                 count += 1
-                heapq.heappush(agenda, (-(tail + score + best[i]), count, i, tail + score, (own, link)))
+                if visits[i] < n:
+                    heapq.heappush(agenda, (-(tail + score + best[i]), i, count, tail + score, (own, link)))
         return out
 
     def best_two(self, word: str) -> tuple[list[int], float, float]:
@@ -138,35 +164,97 @@ class Segmenter:
         ids, at = [], size
         while at:
             at, own = back[at]
-            ids[:0] = own
+            ids.extend(reversed(own))
+        ids.reverse()
         return ids, first[size], first[size] - second[size]
 
-    def _entry(self, word: str) -> tuple[bytes, float, float]:
-        """The best ids and score of a word, and the loss of its second-best segmentation."""
-        found = self.older.get(word)
-        if found is None:
-            ids, score, loss = self.best_two(word)
-            found = (struct.pack(f"<{len(ids)}H", *ids), score, loss)
-        if len(word) <= 64:
-            if len(self.known) >= CACHE_WORDS:
-                self.known, self.older = {}, self.known
-            self.known[word] = found
-        return found
+    def best_two_of(self, words: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """best_two() of many words of one length: ids, scores and losses."""
+        n, size = len(words), len(words[0])
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(n, size).T.astype(np.uint64) + np.uint64(1)
+        first, second = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf)
+        first[0] = 0.0
+        before, piece = np.zeros((size + 1, n), dtype=np.int16), np.zeros((size + 1, n), dtype=np.int32)
+        codes, where = np.unique(letters, return_inverse=True)
+        unknown = ~np.isin(codes, self.letters)[where].reshape(letters.shape)
+        for i in range(size):
+            code = np.zeros(n, dtype=np.uint64)
+            for j in range(i + 1, min(i + self.longest, size) + 1):
+                code = code * np.uint64(FACTOR) + letters[j - 1]
+                at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+                rows = np.flatnonzero(self.codes[at] == code)
+                if not len(rows):
+                    continue
+                own = self.code_scores[at[rows]]
+                one, two, old = first[i, rows] + own, second[i, rows] + own, first[j, rows]
+                better = one > old
+                second[j, rows] = np.where(better, np.maximum(old, two), np.maximum(second[j, rows], one))
+                won = rows[better]
+                first[j, won], before[j, won], piece[j, won] = one[better], i, self.code_ids[at[won]]
+            rows = np.flatnonzero(unknown[i])
+            if len(rows):
+                one, two, old = first[i, rows] + self.unknown, second[i, rows] + self.unknown, first[i + 1, rows]
+                better = one > old
+                second[i + 1, rows] = np.where(better, np.maximum(old, two), np.maximum(second[i + 1, rows], one))
+                won = rows[better]
+                first[i + 1, won], before[i + 1, won], piece[i + 1, won] = one[better], i, -2 - (letters[i, won].astype(np.int32) - 1)
+        every, at, found = np.arange(n), np.full(n, size), []
+        while at.any():
+            found.append(np.where(at > 0, piece[at, every], -1))
+            at = np.where(at > 0, before[at, every], 0)
+        ids = np.stack(found[::-1], axis=1)
+        used = ids != -1
+        ends = (2 * np.cumsum(used.sum(axis=1))).tolist()
+        data = ids[used].astype("<u2").tobytes()
+        parts = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        for k in np.flatnonzero((ids < -1).any(axis=1)).tolist():
+            own = [(p,) if p >= 0 else [self.byte_ids[b] for b in chr(-2 - p).encode("utf-8", "replace")] for p in ids[k].tolist() if p != -1]
+            parts[k] = struct.pack(f"<{sum(map(len, own))}H", *chain.from_iterable(own))
+        return parts, first[size], first[size] - second[size]
+
+    def _keep(self, words: set[str]) -> None:
+        """Number new words, with their best ids, score and the loss of the second-best segmentation."""
+        if len(self.number) + len(words) > CACHE_WORDS:
+            self.number, self.ids = {}, []
+        while len(self.ids) + len(words) > len(self.scores):
+            self.scores, self.losses = np.append(self.scores, self.scores), np.append(self.losses, self.losses)
+        groups: dict[int, list[str]] = {}
+        for word in words:
+            groups.setdefault(len(word) if len(word) <= 64 else 0, []).append(word)
+        for size, own in groups.items():
+            if size:
+                parts, scores, losses = self.best_two_of(own)
+            else:
+                found = [self.best_two(w) for w in own]
+                parts, scores, losses = [struct.pack(f"<{len(f[0])}H", *f[0]) for f in found], [f[1] for f in found], [f[2] for f in found]
+            at = len(self.ids)
+            self.number.update(zip(own, range(at, at + len(own)), strict=True))
+            self.ids += parts
+            self.scores[at : at + len(own)], self.losses[at : at + len(own)] = scores, losses
 
     def _ways(self, word: str) -> list[tuple[float, bytes]]:
         """All n segmentations of a word as (loss, ids)."""
         ways = self.search(word, self.n)
         return [(ways[0][0] - score, struct.pack(f"<{len(ids)}H", *ids)) for score, ids in ways]
 
+    def encode_all(self, texts: list[str]) -> list[list[tuple[float, bytes]]]:
+        """Per text up to n segmentations as (score, ids in little-endian uint16), best first."""
+        words = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        new = set().union(*words).difference(self.number)
+        if len(self.number) + len(new) > CACHE_WORDS:
+            new = set().union(*words)
+        self._keep(new)
+        return [self._n_best(w) for w in words]
+
     def encode(self, text: str) -> list[tuple[float, bytes]]:
-        """Up to n segmentations of a text as (score, ids in little-endian uint16), best first."""
-        if not text:
+        return self.encode_all([text])[0]
+
+    def _n_best(self, words: list[str]) -> list[tuple[float, bytes]]:
+        if not words:
             return [(0.0, b"")]
-        words = WORD.findall(SPACE + text.replace(" ", SPACE))
-        entry = self._entry
-        found = [self.known.get(w) or entry(w) for w in words]
-        best = sum(f[1] for f in found)
-        losses = np.fromiter((f[2] for f in found), dtype=np.float64, count=len(found))
+        found = list(map(self.number.__getitem__, words))
+        at = np.array(found)
+        best, losses = float(self.scores[at].sum()), self.losses[at]
         k = min(self.n - 1, len(found))
         near = np.argsort(losses, kind="stable")[:k] if len(found) <= 64 else np.sort(np.argpartition(losses, k - 1)[:k])
         ways: list[tuple[float, tuple]] = [(0.0, ())]
@@ -174,7 +262,7 @@ class Segmenter:
             options = self._ways(words[at])
             ways = [(loss + own, (*picks, (at, ids)) if rank else picks) for loss, picks in ways for rank, (own, ids) in enumerate(options)]
             ways = sorted(ways, key=lambda w: w[0])[: self.n]
-        parts = [f[0] for f in found]
+        parts = list(map(self.ids.__getitem__, found))
         out = []
         for loss, picks in ways:
             changed = list(parts) if picks else parts
@@ -205,7 +293,7 @@ def segmented(docs: DataFrame, model: str = "piece_bpe_32k.model", n: int = N_BE
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [segmenter.encode(t or "") for t in part.column(1).to_pylist()]
+                found = segmenter.encode_all([t or "" for t in part.column(1).to_pylist()])
                 decoded = [segmenter.decode(f[0][1]) for f in found]
                 nbest = pa.array([[{"score": s, "ids": i} for s, i in f] for f in found], kind)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(decoded, pa.string()), nbest], ["doc_id", "decoded", "nbest"])
