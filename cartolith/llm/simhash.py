@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolith.llm import linking
-from cartolith.llm.common import join_checked, staged
+from cartolith.llm.common import join_checked, staged, unused
 
 GOLAY = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 SEED = 42
@@ -133,12 +133,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3) -> DataF
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id stays (the first row of it, where rows repeat)."""
-    numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
-    found = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
-    named = numbered.select("__row", "doc_id").join(found, "__row")
-    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first")).select("first.__row")
-    return join_checked(numbered, staged(first, "simhash-kept"), ["__row"], "left_semi", 16).select(*docs.columns)
+    """Pipeline stage: of each component the row with the smallest doc_id stays (the first row of it, where rows repeat).
+
+    Null and empty texts have fingerprint zero and are one component; a null document id sorts first; extra columns
+    stay as they are; an empty table stays empty.
+    """
+    (row,) = unused([*docs.columns, "component_id"], "__row")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    named = numbered.select(row, "doc_id").join(found, row)
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first")).select(F.col("first")[row].alias(row))
+    return join_checked(numbered, staged(first, "simhash-kept"), [row], "left_semi", 16).drop(row)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

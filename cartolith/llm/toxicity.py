@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartolith.llm.common import unused
+
 MAX_DOCS = 3000
 MAX_CHARS = 50_000
 FIT_WORDS = 200
@@ -260,8 +262,9 @@ def fitted(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_cha
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").limit(2 * max_docs).collect()
-    rows.sort(key=lambda r: (r[0], r[1]))
+    # one text per document, so max_docs rows at most, and the same ones in every run
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic").collect()
+    rows.sort(key=lambda r: (r[0], r[1], r[2]))
     return fit([r[1] for r in rows], [r[2] for r in rows])
 
 
@@ -269,9 +272,9 @@ RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("sp
 
 
 def tagged(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and a struct column toxicity (score, spans)."""
+    """All columns of docs and, last, a struct column toxicity (score, spans); it has underscores in front where docs has a column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", RESULT)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(unused(docs.columns, "toxicity")[0], RESULT)])
     place = docs.columns.index("text")
     kind = pa.struct([("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())])))])
 
@@ -282,7 +285,7 @@ def tagged(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(at, 1024)
                 found = scorer.texts([t or "" for t in part.column(place).to_pylist()])
                 column = pa.array([{"score": scorer.score(s), "spans": [dict(zip(("start", "end", "probability"), x, strict=True)) for x in spans]} for s, spans in found], kind)
-                yield pa.RecordBatch.from_arrays([*part.columns, column], [*batch.schema.names, "toxicity"])
+                yield pa.RecordBatch.from_arrays([*part.columns, column], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -295,9 +298,14 @@ def op8_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents scored one half or more go."""
+    """Pipeline stage: documents scored one half or more go.
+
+    Null and empty texts are judged as texts without toxic tokens; repeated rows are judged alike; extra columns
+    stay as they are; an empty table stays empty.
+    """
     model = fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return tagged(docs, model).where("toxicity.score < 0.5").select(*docs.columns)
+    found = tagged(docs, model)
+    return found.where(F.col(found.columns[-1])["score"] < 0.5).drop(found.columns[-1])
 
 
 QUERIES = {"op8_toxicity": op8_toxicity}

@@ -468,5 +468,17 @@ def test_pipeline_keeps_columns_until_packing(spark):
     assert set(r[0] for r in corpus_pipeline.STAGES[-1][1](spark, frame, DATA).select("doc_id").distinct().collect()) == set(r[0] for r in frame.select("doc_id").collect())
 
 
+def test_stages_on_edge_rows(spark, docs):
+    """Nulls, empty texts, repeated rows and clashing names pass the filtering stages; empty tables stay empty."""
+    clash = docs.selectExpr("*", "1 AS toxicity", "2 AS kept", "3 AS __row", "4 AS fp")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, clash, DATA)
+        assert found.columns == clash.columns, name
+        rows = found.collect()
+        assert set(rows) <= set(clash.collect()) or name == "lines", name
+        assert all(r[4:] == (1, 2, 3, 4) for r in rows), name
+        assert stage(spark, empty(spark), DATA).collect() == [], name
+
+
 def test_every_operator_has_a_query():
     assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
