@@ -346,7 +346,9 @@ def test_edit_distance():
     want = [levenshtein(a, b) for a, b in pairs]
     assert [lines.distance(a, b) for a, b in pairs] == want
     full = [k for k, (a, b) in enumerate(pairs) if a and b]
-    assert lines.distances([pairs[k] for k in full]).tolist() == [want[k] for k in full]
+    for share in (0.1, 0.2, 0.4, 1.0):
+        limits = [max(abs(len(pairs[k][0]) - len(pairs[k][1])), int(share * max(map(len, pairs[k])))) for k in full]
+        assert lines.close([pairs[k] for k in full], limits).tolist() == [want[k] <= limit for k, limit in zip(full, limits, strict=True)]
     similar = [w <= 0.2 * max(len(a), len(b)) + 1e-9 for w, (a, b) in zip(want, pairs, strict=True)]
     assert lines.similar([a for a, _ in pairs], [b for _, b in pairs]).tolist() == similar
 
