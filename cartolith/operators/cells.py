@@ -61,15 +61,36 @@ def segment_distance2(px: Column, py: Column) -> Column:
 
 
 def ribbons(lines: DataFrame, half_width: int, key: str = "way_id", once: bool = True) -> DataFrame:
-    """(key, x, y): cells whose centre lies within half_width of a line; round caps.
+    """(key, x, y): cells whose centre lies within half_width of a line of whole-number vertices; round caps.
 
+    A segment's band is convex, so it fills one span of every row: from the discs around its ends and the
+    rectangle between them, all bounds exact in whole numbers. No cell outside of the band is made. Spans are
+    computed in a lambda per row, which keeps the code of the loop over cells small enough to be compiled.
     With once=False a cell comes once per segment that covers it, which saves a shuffle before an overlay.
     """
-    boxes = segments(lines, key)
-    xs = F.sequence(F.least("x1", "x2") - half_width, F.greatest("x1", "x2") + half_width)
-    ys = F.sequence(F.least("y1", "y2") - half_width, F.greatest("y1", "y2") + half_width)
-    cells = boxes.withColumn("x", F.explode(xs)).withColumn("y", F.explode(ys))
-    near = cells.where(segment_distance2(F.col("x"), F.col("y")) <= half_width * half_width + 1e-9).select(key, "x", "y")
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    length2 = dx * dx + dy * dy
+    own = segments(lines, key).withColumns({
+        "far": F.floor(half_width * F.sqrt(length2.cast("double"))), "run": dx * F.signum(dy), "rise": dy * F.signum(dx), "wide": F.nullif(F.abs(dx), F.lit(0)), "tall": F.nullif(F.abs(dy), F.lit(0)),
+        "d0": F.when(dx > 0, 0).otherwise(-length2), "d1": F.when(dx > 0, length2).otherwise(0),
+    })
+
+    def span(y: Column) -> Column:
+        up, down = y - F.col("y1"), y - F.col("y2")
+        reach = lambda off: F.when(F.abs(off) <= half_width, F.floor(F.sqrt((half_width * half_width - off * off).cast("double"))))
+        # the rectangle: |cross product| <= far and 0 <= dot product <= length squared, as bounds of x - x1
+        low = F.ceil(F.greatest((up * F.col("run") - F.col("far")) / F.col("tall"), (F.col("d0") - up * F.col("rise")) / F.col("wide")))
+        high = F.floor(F.least((up * F.col("run") + F.col("far")) / F.col("tall"), (F.col("d1") - up * F.col("rise")) / F.col("wide")))
+        fits = (low <= high) & (F.col("wide").isNotNull() | y.between(F.least("y1", "y2"), F.greatest("y1", "y2")))
+        return F.struct(
+            y.alias("y"),
+            F.least(F.col("x1") - reach(up), F.col("x2") - reach(down), F.when(fits, F.col("x1") + low)).alias("low"),
+            F.greatest(F.col("x1") + reach(up), F.col("x2") + reach(down), F.when(fits, F.col("x1") + high)).alias("high"),
+        )
+
+    rows = F.transform(F.sequence(F.least("y1", "y2") - half_width, F.greatest("y1", "y2") + half_width), span)
+    spans = own.select(key, F.explode(rows).alias("s")).where("s.low IS NOT NULL")
+    near = spans.select(key, F.explode(F.sequence("s.low", "s.high")).alias("x"), F.col("s.y").alias("y"))
     return near.distinct() if once else near
 
 
@@ -89,9 +110,14 @@ def saturating_sum(cells: DataFrame, top: int = 255) -> DataFrame:
     return cells.groupBy(*XY).agg(F.least(F.lit(top), F.sum("v")).cast("long").alias("v"))
 
 
-def overlay_first(cells: DataFrame, rank: str = "rank", layer: str = "layer") -> DataFrame:
-    """(x, y, layer): the layer with the least rank that claims a cell; partial aggregation, no sort."""
-    return cells.groupBy(*XY).agg(F.min_by(layer, rank).alias(layer))
+def overlay_first(cells: DataFrame, layers: tuple[str, ...], rank: str = "rank", layer: str = "layer") -> DataFrame:
+    """(x, y, layer): the layer with the least rank that claims a cell.
+
+    Layers are carried as their place in `layers`, so that cells are hash-aggregated without a sort; a layer outside of it is null.
+    """
+    code = F.coalesce(*[F.when(F.col(layer) == name, F.lit(k)) for k, name in enumerate(layers)])
+    first = cells.select(*XY, rank, code.alias("code")).groupBy(*XY).agg(F.min_by("code", rank).alias("code"))
+    return first.select(*XY, F.get(F.array(*map(F.lit, layers)), F.col("code")).alias(layer))
 
 
 def overlay_last(cells: DataFrame, ident: str) -> DataFrame:

@@ -35,6 +35,9 @@ def roads(v):
     return v("way_pt").select("way_id", "seq", moved("x", 7919), moved("y", 104729))
 
 
+LAYERS = ("road", "farmland", "forest")
+
+
 def layered(v):
     """Painted features and road bands with a layer and its rank: farmland before forest before roads."""
     areas = painted(v).select(F.when(F.col("status") == "F", "farmland").otherwise("forest").alias("layer"), F.when(F.col("status") == "F", 1).otherwise(2).cast("long").alias("rank"), "x", "y")
@@ -53,7 +56,7 @@ def grid(v, n=270):
 @query("JOB_land_cover_share", f"WITH {LAYERED}, {GRID}, o AS (SELECT x, y, min_by(layer, rank) AS layer FROM l GROUP BY x, y) SELECT coalesce(layer, 'base') AS layer, count(*) AS cells FROM grid LEFT JOIN o USING (x, y) GROUP BY 1")
 def _(v):
     """The flagship: which class owns each cell, and how much area each class holds."""
-    owned = C.overlay_first(layered(v).where("x BETWEEN 0 AND 269 AND y BETWEEN 0 AND 269"))
+    owned = C.overlay_first(layered(v).where("x BETWEEN 0 AND 269 AND y BETWEEN 0 AND 269"), LAYERS)
     return C.with_base(owned, grid(v), "base").groupBy("layer").agg(F.count("*").alias("cells"))
 
 
@@ -104,7 +107,7 @@ def _(v):
 
 @query("WIN_01_first_writer_overlay", f"WITH {LAYERED} SELECT x, y, min_by(layer, rank) AS layer FROM l GROUP BY x, y")
 def _(v):
-    return C.overlay_first(layered(v))
+    return C.overlay_first(layered(v), LAYERS)
 
 
 @query("WIN_02_last_writer_overlay", f"WITH {PAINTED}, {GRID} SELECT x, y, coalesce(max(feature_id), 255) AS id FROM grid LEFT JOIN p USING (x, y) GROUP BY x, y")
@@ -141,7 +144,7 @@ def _(v):
 
 @query("SET_06_border_transfer", f"WITH {LAYERED}, o AS (SELECT x, y, min_by(layer, rank) AS layer FROM l GROUP BY x, y) SELECT CASE WHEN x < 10 OR y < 10 OR x >= 246 OR y >= 246 THEN 'base' ELSE layer END AS layer, count(*) AS cells FROM o GROUP BY 1")
 def _(v):
-    return C.border_transfer(C.overlay_first(layered(v)), 256, 10, "base").groupBy("layer").agg(F.count("*").alias("cells"))
+    return C.border_transfer(C.overlay_first(layered(v), LAYERS), 256, 10, "base").groupBy("layer").agg(F.count("*").alias("cells"))
 
 
 @query("RAS_24_dissolve", f"WITH {PAINTED} SELECT part, count(*) AS cells FROM (SELECT DISTINCT x, y, (x * 73856093 + y * 19349663 + 7) % 2147483647 % 3 AS part FROM p) GROUP BY part")
