@@ -1 +1 @@
-
+"""Readers of map extracts, rule lists and catalogues."""
