@@ -163,3 +163,33 @@ def nearest_segments(points: DataFrame, segments: DataFrame, radius: int, bucket
     near = a.join(dealt, ["bx", "by"]).withColumn("d2", F.round(segment_distance2(F.col("px"), F.col("py")), 6)).where(F.col("d2") <= radius * radius)
     order = Window.partitionBy("point_id").orderBy("d2", "way_id", "seg")
     return near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top).select("point_id", "way_id", "seg", "d2", "k")
+
+
+def explicit_or_all(layers: DataFrame, eligible: list[str]) -> DataFrame:
+    """Layers that feed one of the eligible info layers; where any of them is marked extended, only those that are."""
+    own = layers.where(F.col("info_layer").isin(eligible)).withColumn("extended", F.coalesce("extended", F.lit(False)))
+    marked = own.agg(F.coalesce(F.max("extended"), F.lit(False)).alias("any_extended"))
+    return own.crossJoin(F.broadcast(marked)).where("extended OR NOT any_extended").drop("any_extended")
+
+
+def bridged(outer: DataFrame, hole: DataFrame) -> DataFrame:
+    """(feature_id, seq, x, y): open rings (feature_id, seq, x, y) with one hole each spliced in at the nearest pair of vertices.
+
+    The outer ring runs up to its vertex, once around the hole from the hole's vertex and back to it, and goes on from
+    the outer vertex; the ring is left open. Of equal pairs the first outer, then the first hole vertex counts.
+    """
+    pairs = outer.select("feature_id", F.col("seq").alias("i"), F.col("x").alias("ox"), F.col("y").alias("oy")).join(hole.select("feature_id", F.col("seq").alias("j"), F.col("x").alias("hx"), F.col("y").alias("hy")), "feature_id")
+    dx, dy = F.col("ox") - F.col("hx"), F.col("oy") - F.col("hy")
+    best = pairs.groupBy("feature_id").agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), "i", "j")).alias("m")).select("feature_id", "m.i", "m.j")
+    sized = hole.groupBy("feature_id").agg(F.count("*").alias("n"))
+    order = lambda part, k: F.struct(F.lit(part).alias("part"), F.col(k).alias("k"))
+    around = hole.join(best, "feature_id").join(sized, "feature_id").withColumn("turn", F.pmod(F.col("seq") - F.col("j"), F.col("n")))
+    around = around.withColumn("k", F.explode(F.when(F.col("turn") == 0, F.array(F.lit(0).cast("long"), F.col("n"))).otherwise(F.array("turn"))))
+    ring = outer.join(best, "feature_id", "left")
+    before = ring.where("i IS NULL OR seq <= i").select("feature_id", order(0, "seq").alias("o"), "x", "y")
+    inside = around.select("feature_id", order(1, "k").alias("o"), "x", "y")
+    after = ring.where("seq >= i").select("feature_id", order(2, "seq").alias("o"), "x", "y")
+    rows = before.select("feature_id", F.col("o.part").alias("part"), F.col("o.k").cast("long").alias("k"), "x", "y")
+    for more in (inside, after):
+        rows = rows.unionByName(more.select("feature_id", F.col("o.part").alias("part"), F.col("o.k").cast("long").alias("k"), "x", "y"))
+    return rows.select("feature_id", (F.row_number().over(Window.partitionBy("feature_id").orderBy("part", "k")) - 1).alias("seq"), "x", "y")

@@ -111,3 +111,70 @@ def clipped_lines(segments: DataFrame, size: int) -> DataFrame:
     rows = segments.withColumn("t0", low).withColumn("t1", high).where("t0 <= t1")
     at = lambda c, d, t: (F.col(c) + F.col(t) * d)
     return rows.select("way_id", "seg", at("x1", dx, "t0").alias("ax"), at("y1", dy, "t0").alias("ay"), at("x1", dx, "t1").alias("bx"), at("y1", dy, "t1").alias("by"))
+
+
+def connected_lines(segments: DataFrame, tolerance: float, bucket: int = 64) -> DataFrame:
+    """(a, b), a < b: lines that meet, or of which one has an end within the tolerance of the other and points at it (cosine above 0.2).
+
+    segments = (way_id, seg, x1, y1, x2, y2) of whole-number places. Segments are dealt to square buckets, so only
+    neighbours are compared.
+    """
+    near = int(-(-tolerance // 1))
+    span = lambda a, b, by: F.sequence(F.floor((F.least(a, b) - by) / bucket), F.floor((F.greatest(a, b) + by) / bucket))
+    dealt = lambda by: segments.withColumn("bx", F.explode(span("x1", "x2", by))).withColumn("by", F.explode(span("y1", "y2", by)))
+    pairs = dealt(0).alias("p").join(dealt(0).alias("q"), ["bx", "by"]).where("p.way_id < q.way_id")
+    side = lambda o, c, k: F.signum((F.col(f"{o}.x2") - F.col(f"{o}.x1")) * (F.col(f"{c}.y{k}") - F.col(f"{o}.y1")) - (F.col(f"{o}.y2") - F.col(f"{o}.y1")) * (F.col(f"{c}.x{k}") - F.col(f"{o}.x1")))
+    boxes = [F.greatest(f"p.{c}1", f"p.{c}2") >= F.least(f"q.{c}1", f"q.{c}2") for c in "xy"] + [F.greatest(f"q.{c}1", f"q.{c}2") >= F.least(f"p.{c}1", f"p.{c}2") for c in "xy"]
+    meets = (side("p", "q", 1) * side("p", "q", 2) <= 0) & (side("q", "p", 1) * side("q", "p", 2) <= 0)
+    for inside in boxes:
+        meets = meets & inside
+    crossing = pairs.where(meets).select(F.col("p.way_id").alias("a"), F.col("q.way_id").alias("b"))
+    bound = segments.groupBy("way_id").agg(F.min_by(F.struct("x1", "y1", "x2", "y2"), "seg").alias("s"), F.max_by(F.struct("x1", "y1", "x2", "y2"), "seg").alias("e"))
+    start = F.struct(F.lit(0).alias("end"), F.col("s.x1").alias("px"), F.col("s.y1").alias("py"), (F.col("s.x1") - F.col("s.x2")).alias("ux"), (F.col("s.y1") - F.col("s.y2")).alias("uy"))
+    stop = F.struct(F.lit(1).alias("end"), F.col("e.x2").alias("px"), F.col("e.y2").alias("py"), (F.col("e.x2") - F.col("e.x1")).alias("ux"), (F.col("e.y2") - F.col("e.y1")).alias("uy"))
+    ends = bound.select(F.col("way_id").alias("own"), F.inline(F.array(start, stop))).withColumn("bx", F.floor(F.col("px") / bucket)).withColumn("by", F.floor(F.col("py") / bucket))
+    _, fx, fy = foot(F.col("px"), F.col("py"))
+    rows = ends.join(dealt(near), ["bx", "by"]).where("own <> way_id").withColumn("tx", fx - F.col("px")).withColumn("ty", fy - F.col("py"))
+    rows = rows.withColumn("d2", F.round(F.col("tx") * F.col("tx") + F.col("ty") * F.col("ty"), 9)).where(F.col("d2") <= tolerance * tolerance)
+    closest = rows.groupBy("own", "end", "way_id").agg(F.min_by(F.struct("d2", "tx", "ty", "ux", "uy"), F.struct("d2", "seg")).alias("m")).select("own", "way_id", "m.*")
+    length = F.sqrt((F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy")).cast("double")) * F.sqrt("d2")
+    aimed = closest.where((F.col("d2") == 0) | ((length > 0) & (F.col("ux") * F.col("tx") + F.col("uy") * F.col("ty") > 0.2 * length)))
+    return crossing.unionByName(aimed.select(F.least("own", "way_id").alias("a"), F.greatest("own", "way_id").alias("b"))).distinct()
+
+
+def connector_places(poles: DataFrame) -> DataFrame:
+    """(pole, no, cx, cy, cz): world places of connectors; poles = (pole, x, y, z, yaw, connectors of side and height), y up.
+
+    The side runs along the pole's right axis (-sin yaw, cos yaw).
+    """
+    rows = poles.select("pole", "x", "y", "z", F.radians("yaw").alias("yaw"), F.posexplode("connectors").alias("no", "c"))
+    return rows.select("pole", "no", (F.col("x") - F.col("c.side") * F.sin("yaw")).alias("cx"), (F.col("y") + F.col("c.height")).alias("cy"), (F.col("z") + F.col("c.side") * F.cos("yaw")).alias("cz"))
+
+
+def paired_connectors(links: DataFrame, poles: DataFrame) -> DataFrame:
+    """(a, b, k, x1, y1, z1, x2, y2, z2): wires of linked poles without crossings.
+
+    The connectors of either side are ranked along the right axis of the pair and joined by rank, or, when that is
+    shorter in all, with the ranks of b reversed. A pair has as many wires as its smaller side; poles on one place have none.
+    """
+    at = lambda side: poles.select(F.col("pole").alias(side), F.col("x").alias(f"{side}x"), F.col("z").alias(f"{side}z"))
+    dx, dz = (F.col(f"b{c}").cast("double") - F.col(f"a{c}") for c in "xz")
+    length = F.sqrt(dx * dx + dz * dz)
+    pairs = links.select("a", "b").join(at("a"), "a").join(at("b"), "b").where(length > 0).select("a", "b", (-dz / length).alias("rx"), (dx / length).alias("rz"))
+    places = connector_places(poles)
+
+    def ranked(side: str) -> DataFrame:
+        rows = pairs.join(places.withColumnRenamed("pole", side), side).withColumn("along", F.round(F.col("cx") * F.col("rx") + F.col("cz") * F.col("rz"), 9))
+        w = Window.partitionBy("a", "b")
+        rows = rows.withColumn("k", F.row_number().over(w.orderBy("along", "no"))).withColumn("n", F.count("*").over(w))
+        return rows.select("a", "b", "k", "n", F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z")).alias("p"))
+
+    left, right = ranked("a").alias("l"), ranked("b")
+    both = right.withColumn("turned", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("k", F.when(F.col("turned"), F.col("n") + 1 - F.col("k")).otherwise(F.col("k"))).drop("n").withColumnRenamed("p", "q")
+    wires = left.join(both, ["a", "b", "k"]).select("a", "b", "k", "turned", "p", "q")
+    d = lambda c: F.col(f"p.{c}") - F.col(f"q.{c}")
+    priced = wires.withColumn("cost", F.sqrt(d("x") * d("x") + d("y") * d("y") + d("z") * d("z")))
+    cost = lambda turned: F.round(F.sum(F.when(F.col("turned") == turned, F.col("cost"))), 9)
+    choice = priced.groupBy("a", "b").agg((cost(False) > cost(True)).alias("turned"))
+    chosen_wires = wires.join(choice, ["a", "b", "turned"])
+    return chosen_wires.select("a", "b", "k", *[F.col(f"{p}.{c}").alias(f"{c}{n}") for p, n in (("p", 1), ("q", 2)) for c in "xyz"])

@@ -85,17 +85,18 @@ def _(v):
     return K.buildings(v.spark, listed(v, rows, "buildings")).select("file", "name", "width", "depth", F.size("categories").alias("n_categories"), F.get("regions", 0).alias("region"))
 
 
-@query("SRC_14_power_assets", "SELECT 'p' || asset_id AS file, name, CASE WHEN asset_id % 2 = 0 THEN 'default' ELSE 'pole' END AS category, CASE WHEN asset_id % 3 = 0 THEN 2 ELSE 1 + asset_id % 3 % 2 END AS n_connectors, CASE WHEN asset_id % 3 = 0 THEN 0e0 WHEN asset_id % 3 = 1 THEN 3e0 ELSE 15e-1 END AS sum_x, CASE WHEN asset_id % 5 > 0 THEN asset_id / 2e0 END AS clearance FROM {asset} WHERE asset_id % 59 <> 0")
+@query("SRC_14_power_assets", "SELECT 'p' || asset_id AS file, name, CASE WHEN asset_id % 2 = 0 THEN 'default' ELSE 'pole' END AS category, CASE WHEN asset_id % 3 = 2 THEN 1 ELSE 2 END AS n_connectors, CASE WHEN asset_id % 3 = 0 THEN 0e0 WHEN asset_id % 3 = 1 THEN 3e0 ELSE 15e-1 END AS sides, CASE WHEN asset_id % 3 = 0 THEN 20e0 WHEN asset_id % 3 = 1 THEN 19e0 ELSE 9e0 END AS heights, CASE WHEN asset_id % 5 > 0 THEN asset_id / 2e0 END AS snap_to_road FROM {asset} WHERE asset_id % 59 <> 0")
 def _(v):
     no = F.col("asset_id")
-    wire = lambda x, y, z: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z"))
-    given = F.when(no % 3 == 1, F.array(wire("1.5", "9", "0"), wire("1.5", "9", "0"))).when(no % 3 == 2, F.array(wire("1.5", "9", "0"), wire("2", "high", "0")))
+    wire = lambda side, height: F.struct(F.lit(side).cast("string").alias("side"), F.lit(height).cast("string").alias("height"))
+    given = F.when(no % 3 == 1, F.array(wire("3", "9"), wire(None, None))).when(no % 3 == 2, F.array(wire("1.5", "9"), wire("2", "high")))
     rows = v("asset").select(
         F.concat(F.lit("p"), no).alias("file"), F.when(no % 59 != 0, F.col("name")).alias("name"), F.when(no % 2 == 1, F.array(F.lit("pole"))).alias("categories"), given.alias("connectors"),
-        F.when(no % 5 > 0, (no / 2).cast("string")).otherwise("wide").alias("clearance"),
+        F.when(no % 5 > 0, (no / 2).cast("string")).otherwise("wide").alias("snap_to_road"),
     )
-    sum_x = F.round(F.aggregate("connectors", F.lit(0.0), lambda a, c: a + c["x"]), 6)
-    return K.assets(v.spark, listed(v, rows, "assets")).select("file", "name", F.get("categories", 0).alias("category"), F.size("connectors").alias("n_connectors"), sum_x.alias("sum_x"), "clearance")
+    total = lambda part: F.round(F.aggregate("connectors", F.lit(0.0), lambda a, c: a + c[part]), 6)
+    found = K.assets(v.spark, listed(v, rows, "assets"))
+    return found.select("file", "name", F.get("categories", 0).alias("category"), F.size("connectors").alias("n_connectors"), total("side").alias("sides"), total("height").alias("heights"), "snap_to_road")
 
 
 @query("SRC_15_tree_catalogue", "SELECT name, asset_id AS reference_id, CASE WHEN asset_id % 2 = 0 THEN 'broadleaved' END AS leaf_type FROM {asset} WHERE asset_id % 61 <> 0")

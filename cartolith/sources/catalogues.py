@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 BUILDINGS = "file string, name string, width double, depth double, categories array<string>, regions array<string>, type string"
 TREES = "name string, reference_id long, leaf_type string"
 GRIDS = "name string, height_multiplier double, width_multiplier double, channels int, data_type string"
-ASSETS = "file string, name string, categories array<string>, connectors array<struct<x: string, y: string, z: string>>, align_distance string, clearance string"
+ASSETS = "file string, name string, categories array<string>, connectors array<struct<side: string, height: string>>, align_to_road string, snap_to_road string"
 LAYERS = "name string, count int, tags string, width double, priority int, info_layer string, usage string, invisible boolean, precise_tags string"
-#: The two wires of an asset without connectors (sideways offset, height).
+#: The two wires (side, height) of an asset without connectors, and what a connector has where one is not given.
 WIRES = ((-2.0, 10.0), (2.0, 10.0))
+SIDE, HEIGHT = "0.0", "10.0"
 
 
 def entries(spark: SparkSession, schema: str, standard: str, custom: str | None = None, multi_line: bool = False) -> DataFrame:
@@ -52,9 +53,10 @@ def grids(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame
 
 
 def connectors(raw: Column) -> Column:
-    """Connectors whose three numbers can be read; two standard wires where none is left."""
-    known = F.filter(F.transform(raw, lambda c: F.struct(*[c[k].try_cast("double").alias(k) for k in "xyz"])), lambda c: c["x"].isNotNull() & c["y"].isNotNull() & c["z"].isNotNull())
-    standard = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(0.0).alias("z")) for x, y in WIRES])
+    """Connectors (side, height), those left out whose numbers cannot be read; two standard wires where none is left."""
+    read = lambda c: F.struct(F.coalesce(c["side"], F.lit(SIDE)).try_cast("double").alias("side"), F.coalesce(c["height"], F.lit(HEIGHT)).try_cast("double").alias("height"))
+    known = F.filter(F.transform(F.filter(raw, lambda c: c.isNotNull()), read), lambda c: c["side"].isNotNull() & c["height"].isNotNull())
+    standard = F.array(*[F.struct(F.lit(side).alias("side"), F.lit(height).alias("height")) for side, height in WIRES])
     return F.when(F.size(known) > 0, known).otherwise(standard)
 
 
@@ -65,8 +67,8 @@ def assets(spark: SparkSession, standard: str, custom: str | None = None, multi_
     return rows.withColumns({
         "categories": F.when(F.size("categories") > 0, F.col("categories")).otherwise(default),
         "connectors": connectors(F.col("connectors")),
-        "align_distance": F.col("align_distance").try_cast("double"),
-        "clearance": F.col("clearance").try_cast("double"),
+        "align_to_road": F.col("align_to_road").try_cast("double"),
+        "snap_to_road": F.col("snap_to_road").try_cast("double"),
     })
 
 
