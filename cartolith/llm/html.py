@@ -32,7 +32,13 @@ from cartolith.llm.common import ascii_lower, join_checked, staged
 VOTE_SHARE = 0.2
 CANDIDATES = 3
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+#: Comments, declarations and tags. A tag whose quotes do not close before white space, a slash or the tag's end is cut at its first >.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>])|[^<>\"']++)*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 RAW = {"script": re.compile(r"</script\b[^>]*>", re.I), "style": re.compile(r"</style\b[^>]*>", re.I), "textarea": re.compile(r"</textarea\b[^>]*>", re.I), "title": re.compile(r"</title\b[^>]*>", re.I), "xmp": re.compile(r"</xmp\b[^>]*>", re.I)}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,11 +57,13 @@ DIGITS = re.compile(r"\d+")
 
 
 class Element:
-    __slots__ = ("tag", "path", "dropped", "article", "heading_only", "score", "parent")
+    __slots__ = ("tag", "path", "dropped", "article", "heading_only", "score", "parent", "block")
 
     def __init__(self, tag: str, path: str, dropped: bool, article: bool, heading_only: bool, parent: Element | None):
         self.tag, self.path, self.dropped, self.article, self.heading_only, self.parent = tag, path, dropped, article, heading_only, parent
         self.score = 0.0
+        #: The innermost block that the element is or lies in.
+        self.block: Element = self if parent is None or tag in BLOCK else parent.block
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -108,7 +116,7 @@ def blocks(page: str) -> list[tuple[Element, str, int]]:
         top = stack[-1]
         if top.dropped:
             return
-        block = next(e for e in reversed(stack) if e.tag in BLOCK or e is root)
+        block = top.block
         if block.heading_only and block.tag not in HEADINGS:
             return
         if owner is None:
@@ -124,19 +132,20 @@ def blocks(page: str) -> list[tuple[Element, str, int]]:
         in_link -= sum(e.tag == "a" for e in stack[k:])
         del stack[k:]
 
-    at, end = 0, len(page)
+    at, end, last = 0, len(page), page.rfind(">")
     while at < end:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last else None
         if m is None:
-            add(page[at:])
+            comment = page.find("<!--", at)
+            add(page[at : comment if comment >= 0 else end])
             break
         add(page[at : m.start()])
         at = m.end()
-        tag = m[2]
+        slash, tag, rest = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
         if tag is None:
             continue
         tag = tag.lower()
-        if m[1]:
+        if slash:
             k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
             if k and not (tag not in BLOCK and any(e.tag in CONTAINERS for e in stack[k + 1 :])):
                 close(k)
@@ -167,13 +176,13 @@ def blocks(page: str) -> list[tuple[Element, str, int]]:
                     break
         if tag in BLOCK or tag in DROPPED:
             flush()
-        if m[3].endswith("/") and tag not in BLOCK:
+        if rest.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
             over = RAW[tag].search(page, at)
             at = over.end() if over else end
             continue
-        stack.append(_open(tag, m[3], stack[-1]))
+        stack.append(_open(tag, rest, stack[-1]))
         in_link += tag == "a"
     flush()
     return found

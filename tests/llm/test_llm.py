@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -62,6 +63,17 @@ def test_html_takes_the_article_only(spark):
     assert found[9].text == "" and found[10].text == "" and len(found) == 7
 
 
+def test_html_unbalanced_quotes_and_deep_tags_take_linear_time():
+    texts = lambda page: [t for _, t, _ in html.blocks(page)]
+    assert texts('<body><p class="x>odd words</p><p class="y">even words</p></body>') == ["odd words", "even words"]
+    assert texts("<body><p>a &lt; b<!-- left open") == ["a < b"]
+    began = time.monotonic()
+    texts('<a href="x ' * 40_000)
+    texts('<a href="x ' * 40_000 + ">")
+    texts("<body><p>" + "<span>word " * 40_000)
+    assert time.monotonic() - began < 10
+
+
 def test_html_empty_table(spark):
     assert html.extracted(empty(spark, "page_id long, url string, html string")).collect() == []
 
