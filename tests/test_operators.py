@@ -1,9 +1,12 @@
 """Operators on hand-made frames."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from cartolith.operators import cells, features, lines, raster, tags
+from cartolith.operators import cells, features, lines, raster, tags, terrain
+from cartolith.sources import catalogues
 
 
 def rows(frame):
@@ -75,3 +78,29 @@ def test_line_components_equal_union_find(spark, monkeypatch):
     build = network_queries.POLY_16
     found = dict(map(tuple, build(lambda name: frame).collect()))
     assert found == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
+def test_catalogue_list_over_many_lines_and_bad_entries(spark, tmp_path):
+    path = tmp_path / "assets.json"
+    path.write_text('[\n {"file": "a", "name": "x", "connectors": [{"side": 1}, {"side": "left"}, null]},\n {"file": "b", "name": "y"},\n {"name": "z"}\n]')
+    found = {r.file: [(c.side, c.height) for c in r.connectors] for r in catalogues.assets(spark, str(path), multi_line=True).collect()}
+    assert found == {"a": [(1.0, 10.0)], "b": [(-2.0, 10.0), (2.0, 10.0)]}
+
+
+def test_edge_distance_without_an_edge_is_null(spark):
+    full = spark.createDataFrame([(y, x, True) for y in range(3) for x in range(4)], "y long, x long, inside boolean")
+    assert {r.d2 for r in terrain.edge_distance(full).collect()} == {None}
+
+
+def test_ribbon_spans_equal_distances(spark):
+    rng = random.Random(5)
+    ends = [(k, [rng.randrange(-20, 20) for _ in range(4)]) for k in range(120)] + [(120, [3, 3, 3, 3]), (121, [0, 5, 9, 5]), (122, [5, 0, 5, 9])]
+    points = spark.createDataFrame([(k, i, p[2 * i], p[2 * i + 1]) for k, p in ends for i in (0, 1)], "way_id long, seq long, x long, y long")
+    got = {(r.way_id, r.x, r.y) for r in cells.ribbons(points, 3).collect()}
+
+    def near(p, x, y):
+        dx, dy = p[2] - p[0], p[3] - p[1]
+        t = max(0.0, min(1.0, ((x - p[0]) * dx + (y - p[1]) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+        return (x - p[0] - t * dx) ** 2 + (y - p[1] - t * dy) ** 2 <= 9 + 1e-9
+
+    assert got == {(k, x, y) for k, p in ends for x in range(-24, 24) for y in range(-24, 24) if near(p, x, y)}
