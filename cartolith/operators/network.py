@@ -128,7 +128,9 @@ def connected_lines(segments: DataFrame, tolerance: float, bucket: int = 64) ->
     meets = (side("p", "q", 1) * side("p", "q", 2) <= 0) & (side("q", "p", 1) * side("q", "p", 2) <= 0)
     for inside in boxes:
         meets = meets & inside
-    crossing = pairs.where(meets).select(F.col("p.way_id").alias("a"), F.col("q.way_id").alias("b"))
+    # a pair is judged in one of the buckets that it shares: that of the lower corner of the boxes' common part
+    corner = [F.col(f"b{c}") == F.floor(F.greatest(F.least(f"p.{c}1", f"p.{c}2"), F.least(f"q.{c}1", f"q.{c}2")) / bucket) for c in "xy"]
+    crossing = pairs.where(corner[0] & corner[1]).where(meets).select(F.col("p.way_id").alias("a"), F.col("q.way_id").alias("b"))
     bound = segments.groupBy("way_id").agg(F.min_by(F.struct("x1", "y1", "x2", "y2"), "seg").alias("s"), F.max_by(F.struct("x1", "y1", "x2", "y2"), "seg").alias("e"))
     start = F.struct(F.lit(0).alias("end"), F.col("s.x1").alias("px"), F.col("s.y1").alias("py"), (F.col("s.x1") - F.col("s.x2")).alias("ux"), (F.col("s.y1") - F.col("s.y2")).alias("uy"))
     stop = F.struct(F.lit(1).alias("end"), F.col("e.x2").alias("px"), F.col("e.y2").alias("py"), (F.col("e.x2") - F.col("e.x1")).alias("ux"), (F.col("e.y2") - F.col("e.y1")).alias("uy"))
