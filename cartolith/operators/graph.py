@@ -95,7 +95,9 @@ def labelled(cells: DataFrame, keys: tuple[str, ...] = (), diagonal: bool = Fals
     ahead = local.where(last("x")).withColumn("s", F.explode(F.array(*right))).unionByName(local.where(last("y")).withColumn("s", F.explode(F.array(*down))))
     ahead = ahead.select(*keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), F.col("label").alias("a"))
     met = local.where(firsts("x") | firsts("y") | last("x") | last("y")).withColumnRenamed("label", "b")
-    edges = ahead.join(met, [*keys, "y", "x"]).select(*keys, "a", "b").distinct()
+    edges = ahead.join(met, [*keys, "y", "x"]).select(*keys, "a", "b").distinct().checkpoint()
+    if edges.isEmpty():
+        return local
     whole = components(edges, keys).withColumnRenamed("node", "label")
     # the smallest number is that of the first cell in row order
     return local.join(whole, [*keys, "label"], "left").select(*keys, "y", "x", F.coalesce("component", "label").alias("label"))
