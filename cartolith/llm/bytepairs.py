@@ -26,11 +26,12 @@ import os
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +39,19 @@ from pyspark.sql import functions as F
 from cartolith.llm.common import fresh_path
 
 #: Characters of text whose distinct words are numbered together.
-BATCH_CHARS = 32 << 20
+BATCH_CHARS = 48 << 20
+#: Batches of one partition at most: a batch's number is that of its partition times this, and its own.
+BATCHES = 1 << 8
 #: Batches that one row of the word table refers to at most.
 PLACES = 4096
+#: Places of words that a task deals to batches at once.
+PLACES_AT_ONCE = 1 << 20
 #: Longer texts are split in portions.
 PORTION = 1 << 20
 
+#: What sequences carry, their ids and their spellings.
+Columns = tuple[pa.Array, pa.Array, pa.Array]
+
 
 class Splitter:
     """Words of texts, as the tokenizer cuts them."""
@@ -58,6 +66,8 @@ class Splitter:
         if self.tokenizer.normalizer is not None or self.tokenizer.pre_tokenizer.add_prefix_space:
             raise ValueError("tokenizers that change the text before splitting are not supported")
         self.word = regex.compile(pattern)
+        # the same pattern for texts of ASCII characters only, in the faster library
+        self.ascii_word = re.compile(pattern.replace(r"\p{L}\p{N}]", "A-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]"), re.ASCII)
         controls = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.control = re.compile("(" + "|".join(map(re.escape, sorted(controls, key=len, reverse=True))) + ")") if controls else None
 
@@ -86,7 +96,9 @@ class Splitter:
 
     def _split(self, text: str) -> list[str]:
         # on characters that Python's tables have, the pattern's library and the tokenizer agree (tested); newer ones are left to the tokenizer
-        if text.isascii() or all(unicodedata.category(c) != "Cn" for c in set(text)):
+        if text.isascii():
+            return self.ascii_word.findall(text)
+        if all(unicodedata.category(c) != "Cn" for c in set(text)):
             return self.word.findall(text)
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
@@ -103,17 +115,25 @@ def splitter_of(vocabulary: str) -> Splitter:
     return Splitter(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
 
 
-def packed_numbers(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^32 by planes of bytes, compressed."""
+def packed(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
-def unpacked_numbers(data: bytes) -> np.ndarray:
+def unpacked(data: bytes) -> bytes:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def packed_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 by planes of bytes, packed."""
+    return packed(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked_numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(unpacked(data), dtype=np.uint8)
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1)
 
 
@@ -133,7 +153,9 @@ def dictionaries(docs: DataFrame, vocabulary: str) -> DataFrame:
             place = np.empty(len(order), dtype=np.int64)
             place[order] = np.arange(len(order))
             words = list(number)
-            columns = [pa.array([(part << 32) + made], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))]
+            if made >= BATCHES:
+                raise ValueError("a partition holds too many batches of documents: read it in smaller partitions")
+            columns = [pa.array([part * BATCHES + made], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))]
             columns += [pa.array([packed_numbers(place[all_codes])], pa.binary()), pa.array([[words[k] for k in order.tolist()]], pa.list_(pa.string()))]
             return pa.RecordBatch.from_arrays(columns, ["batch", "doc_ids", "counts", "codes", "words"])
 
@@ -160,7 +182,7 @@ def dictionaries(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def distinct_words(batches: DataFrame, vocabulary: str) -> DataFrame:
-    """(carried, ids): the table of distinct words, each encoded once; carried = the batches that hold the word, and its number there."""
+    """(carried, ids): the table of distinct words, each encoded once; carried = the batches that hold the word (times 2^32), and its number there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = splitter_of(vocabulary)
@@ -170,8 +192,8 @@ def distinct_words(batches: DataFrame, vocabulary: str) -> DataFrame:
 
     rows = batches.select("batch", F.posexplode("words").alias("code", "word"))
     salts = -(-batches.count() // PLACES)  # one up to PLACES batches
-    table = rows.groupBy("word", F.pmod(F.xxhash64("batch"), F.lit(max(1, salts)))).agg(F.collect_list(F.struct("batch", "code")).alias("places"))
-    return table.select("word", "places").mapInArrow(run, "carried array<struct<batch:long,code:int>>, ids array<int>")
+    table = rows.groupBy("word", F.pmod(F.xxhash64("batch"), F.lit(max(1, salts)))).agg(F.collect_list(F.shiftleft("batch", 32) + F.col("code")).alias("places"))
+    return table.select("word", "places").mapInArrow(run, "carried array<long>, ids array<int>")
 
 
 def pieces(spark: SparkSession, vocabulary: str) -> DataFrame:
@@ -190,10 +212,28 @@ def pieces(spark: SparkSession, vocabulary: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array([r[0] for r in rows], pa.int32()), "piece": pa.array([r[1] for r in rows], pa.binary())}))
 
 
-def spelled(sequences: DataFrame, vocabulary: str) -> DataFrame:
+def glued(parts: pa.Array, stops: np.ndarray) -> pa.Array:
+    """Binary values joined in stretches that end before `stops`: the same bytes under fewer offsets."""
+    bounds = np.frombuffer(parts.buffers()[1], dtype=np.int32)[parts.offset : parts.offset + len(parts) + 1]
+    offsets = bounds[np.concatenate(([0], stops)).astype(np.int64)]
+    return pa.Array.from_buffers(pa.binary(), len(stops), [None, pa.py_buffer(np.ascontiguousarray(offsets)), parts.buffers()[2] or pa.py_buffer(b"")])
+
+
+def cut(data: bytes, lengths: np.ndarray) -> pa.Array:
+    """Bytes as binary values of the given lengths."""
+    offsets = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def taken_lengths(values: pa.Array) -> np.ndarray:
+    return pc.binary_length(values).to_numpy(zero_copy_only=False)
+
+
+def spelled(sequences: DataFrame, vocabulary: str, schema: str | None = None, finish: Callable[[Iterator[Columns]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """(carried, ids, spelling): the bytes of id sequences (carried, ids), by a join of every id with its piece.
 
     The pieces are broadcast, so the rows of a sequence stay in their partition and are gathered there, in any order.
+    finish(columns), if given, turns the gathered sequences into rows of another schema in the same task.
     """
     kind = sequences.schema["carried"].dataType.simpleString()
     numbered = sequences.select(F.monotonically_increasing_id().alias("no"), "carried", "ids").select("no", "carried", F.size("ids").alias("n"), F.posexplode_outer("ids").alias("at", "id"))
@@ -201,32 +241,39 @@ def spelled(sequences: DataFrame, vocabulary: str) -> DataFrame:
     rows = numbered.select("no", "n", "at", "id", first.alias("carried"))
     joined = rows.join(F.broadcast(pieces(sequences.sparkSession, vocabulary)), "id", "left").select("no", "n", "at", "id", "piece", "carried")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[Columns]:
         left: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            table = table if left is None else pa.concat_tables([left, table]).combine_chunks()
+            table = table if left is None else pa.concat_tables([left, table])
             no, n, at = (table.column(k).fill_null(0).to_numpy() for k in range(3))
-            order = np.lexsort((at, no))
-            starts = np.flatnonzero(np.diff(no[order], prepend=-1))
-            sizes = np.diff(starts, append=len(order))
-            whole = sizes == np.maximum(n[order][starts], 1)
+            if not ((np.diff(no) > 0) | (np.diff(no) == 0) & (np.diff(at) > 0)).all():
+                order = np.lexsort((at, no))
+                table, no, n = table.take(order), no[order], n[order]
+            starts = np.flatnonzero(np.diff(no, prepend=-1))
+            sizes = np.diff(starts, append=len(no))
+            whole = sizes == np.maximum(n[starts], 1)
             used = np.repeat(whole, sizes)
-            left = table.take(order[~used]) if not used.all() else None
+            left = table.filter(pa.array(~used)) if not used.all() else None
             if not whole.any():
                 continue
-            done = table.take(order[used]).combine_chunks()
-            ends = np.cumsum(sizes[whole])
-            ids, parts = done.column(3).to_pylist(), done.column(4).to_pylist()
-            spans = list(zip([0, *ends.tolist()], ends.tolist(), strict=False))
-            spelling = [b"".join(p or b"" for p in parts[a:b]) for a, b in spans]
-            lists = [[i for i in ids[a:b] if i is not None] for a, b in spans]
-            carried = done.column(5).take(pa.array(ends - sizes[whole])).combine_chunks()
-            yield pa.RecordBatch.from_arrays([carried.chunk(0) if isinstance(carried, pa.ChunkedArray) else carried, pa.array(lists, pa.list_(pa.int32())), pa.array(spelling, pa.binary())], ["carried", "ids", "spelling"])
+            done = table.filter(pa.array(used)) if left is not None else table
+            sizes = sizes[whole]
+            stops = np.cumsum(sizes)
+            carried, ids, parts = (pa.concat_arrays(done.column(k).chunks) for k in (5, 3, 4))
+            some = n[starts][whole] > 0  # an empty sequence has one row without an id
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(some, sizes, 0)))), pa.int32()), ids.drop_null())
+            yield carried.take(pa.array(stops - sizes)), lists, glued(parts.fill_null(b""), stops)
         if left is not None:
             raise RuntimeError("the pieces of a sequence lie in several partitions")
 
-    return joined.mapInArrow(run, f"carried {kind}, ids array<int>, spelling binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if finish is not None:
+            yield from finish(gathered(batches))
+        else:
+            yield from (pa.RecordBatch.from_arrays(list(columns), ["carried", "ids", "spelling"]) for columns in gathered(batches))
+
+    return joined.mapInArrow(run, schema or f"carried {kind}, ids array<int>, spelling binary")
 
 
 def decoded(sequences: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -235,63 +282,75 @@ def decoded(sequences: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> Data
     return found.select(F.col("carried").alias("doc_id"), F.make_valid_utf8(F.col("spelling").cast("string")).alias("decoded"))
 
 
-def _dealt(words: DataFrame) -> DataFrame:
-    """(batch, codes, ends, ids, spans, spellings): the words' ids and spellings for every batch that holds them, many in a row; ends and spans are lengths."""
+DEALT = "batch long, n long, codes binary, ends binary, ids binary, spans binary, spellings binary"
+PACKED = DEALT.replace(" long", "").replace(" binary", "").split(", ")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places = batch.column(0)
-            word = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
-            flat = places.flatten()
-            own, code = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
-            ids = [np.array(i, dtype="<u4").tobytes() for i in batch.column(1).to_pylist()]
-            spellings = batch.column(2).to_pylist()
-            lengths = np.array([len(i) for i in ids], dtype="<u4"), np.array([len(s) for s in spellings], dtype="<u4")
-            order = np.argsort(own, kind="stable")
-            bounds = np.flatnonzero(np.diff(own[order], prepend=-1, append=-1)).tolist()
-            rows = []
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                at = order[a:b]
-                w = word[at]
-                used = w.tolist()
-                rows.append((int(own[at[0]]), code[at].astype("<u4").tobytes(), lengths[0][w].tobytes(), b"".join(map(ids.__getitem__, used)), lengths[1][w].tobytes(), b"".join(map(spellings.__getitem__, used))))
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64())] + [pa.array(c, pa.binary()) for c in columns[1:]], ["batch", "codes", "ends", "ids", "spans", "spellings"])
-
-    return words.mapInArrow(run, "batch long, codes binary, ends binary, ids binary, spans binary, spellings binary")
+
+def dealt(found: Iterator[Columns]) -> Iterator[pa.RecordBatch]:
+    """Ids and spellings of words for every batch that holds them, PLACES_AT_ONCE places at a time: n words of a batch by rising codes.
+
+    codes holds their steps; ends and spans are lengths in bytes; all columns are packed.
+    """
+    held: list[Columns] = []
+
+    def rows() -> pa.RecordBatch:
+        places, ids, spellings = (pa.concat_arrays(list(c)) for c in zip(*held, strict=True))
+        word = np.repeat(np.arange(len(places)), places.value_lengths().to_numpy(zero_copy_only=False))
+        place = places.flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(place)
+        place, word = place[order], word[order]
+        bounds = np.flatnonzero(np.diff(place >> 32, prepend=-1, append=-1)).tolist()
+        flat = ids.flatten()
+        numbers = glued(cut(flat.to_numpy(zero_copy_only=False).astype("<u4").tobytes(), np.full(len(flat), 4, dtype="<u4")), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))
+        out = []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            columns = [int(place[a] >> 32), b - a, packed_numbers(np.diff(place[a:b] & 0xFFFFFFFF, prepend=0))]
+            for values, planes in ((numbers, True), (spellings, False)):
+                taken = values.take(pa.array(word[a:b]))
+                bytes_of = b"".join(taken.to_pylist())
+                columns += [packed_numbers(taken_lengths(taken)), packed_numbers(np.frombuffer(bytes_of, dtype="<u4")) if planes else packed(bytes_of)]
+            out.append(columns)
+        kinds = [pa.int64()] * 2 + [pa.binary()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], PACKED)
+
+    count = 0
+    for columns in found:
+        held.append(columns)
+        count += len(columns[0].flatten())
+        if count >= PLACES_AT_ONCE:
+            yield rows()
+            held, count = [], 0
+    if count:
+        yield rows()
 
 
 def _by_position(documents: pa.Table, words: pa.Table) -> pa.Table:
     """The documents of one batch: ids and spellings of their words in order."""
-    size = sum(len(c) // 4 for c in words.column("codes").to_pylist())
-    ids_of, text_of = [b""] * size, [b""] * size
-    for codes, ends, ids, spans, spellings in zip(*(words.column(c).to_pylist() for c in ("codes", "ends", "ids", "spans", "spellings")), strict=True):
-        numbers = np.frombuffer(codes, dtype="<u4").tolist()
-        for data, lengths, out in ((ids, ends, ids_of), (spellings, spans, text_of)):
-            stops = np.cumsum(np.frombuffer(lengths, dtype="<u4")).tolist()
-            for k, a, b in zip(numbers, [0, *stops], stops, strict=False):
-                out[k] = data[a:b]
-    docs, all_ids, texts = [], [], []
-    for own, counts, packed in zip(*(documents.column(c).to_pylist() for c in ("doc_ids", "counts", "codes")), strict=True):
-        codes, at = unpacked_numbers(packed), 0
-        for doc, n in zip(own, counts, strict=True):
-            found = codes[at : at + n].tolist()
-            at += n
-            docs.append(doc)
-            all_ids.append(b"".join(map(ids_of.__getitem__, found)))
-            texts.append(b"".join(map(text_of.__getitem__, found)))
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.array(all_ids, pa.binary()), "decoded": pa.array(texts, pa.binary())})
+    codes, ids, spellings = [np.zeros(0, dtype=np.int64)], [], []
+    for steps, ends, numbers, spans, text in zip(*(words.column(c).to_pylist() for c in PACKED[2:]), strict=True):
+        codes.append(np.cumsum(unpacked_numbers(steps), dtype=np.int64))
+        ids.append(cut(unpacked_numbers(numbers).tobytes(), unpacked_numbers(ends)))
+        spellings.append(cut(unpacked(text), unpacked_numbers(spans)))
+    by_code = pa.array(np.argsort(np.concatenate(codes)))
+    tables = [pa.concat_arrays(values).take(by_code) if values else pa.array([], pa.binary()) for values in (ids, spellings)]
+    out = []
+    for own, counts, numbers in zip(*(documents.column(c).to_pylist() for c in ("doc_ids", "counts", "codes")), strict=True):
+        at, stops = pa.array(unpacked_numbers(numbers)), np.cumsum(counts)
+        out.append(pa.table([pa.array(own, pa.int64()), *(glued(t.take(at), stops) for t in tables)], ["doc_id", "ids", "decoded"]))
+    return pa.concat_tables(out)
 
 
 def encoded(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): ids as little-endian uint32 bytes, and the text that they decode to."""
     spark = docs.sparkSession
     path = fresh_path(spark, "bpe-batches")
-    made = dictionaries(docs, vocabulary)
-    made.write.option("compression", "zstd").parquet(path)
-    batches = spark.read.schema(made.schema).parquet(path)
-    words = _dealt(spelled(distinct_words(batches, vocabulary), vocabulary))
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    # bucketed by batch, so that only the words travel when they are joined to the positions
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dictionaries(docs, vocabulary).write.bucketBy(buckets, "batch").option("path", path).option("compression", "zstd").saveAsTable(name)
+    batches = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay, and the frame knows them
+    words = spelled(distinct_words(batches, vocabulary), vocabulary, DEALT, dealt)
     left = batches.select("batch", "doc_ids", "counts", "codes").groupBy("batch")
     found = left.cogroup(words.groupBy("batch")).applyInArrow(_by_position, "doc_id long, ids binary, decoded binary")
     return found.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("decoded"))

@@ -26,7 +26,14 @@ def test_splitting_agrees_on_all_characters():
     known = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
     for at in range(0, len(known), 50):
         text = "".join(f"a{c}a1{c}1!{c}! {c}{c}" for c in known[at : at + 50])
-        assert splitter.word.findall(text) == [text[a:b] for _, (a, b) in pre.pre_tokenize_str(text)]
+        assert splitter._split(text) == [text[a:b] for _, (a, b) in pre.pre_tokenize_str(text)]
+
+
+def test_ascii_pattern_agrees(spark):
+    splitter, rng = bytepairs.splitter_of(VOCABULARY), np.random.default_rng(2)
+    for _ in range(3000):
+        text = "".join(map(chr, rng.choice([*range(128), *map(ord, " 's'll'  \n\n\t1a")], 60)))
+        assert splitter._split(text) == splitter.word.findall(text)
 
 
 def test_portions_of_long_texts_keep_words(monkeypatch):
