@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("tag_queries", "cell_queries", "feature_queries", "raster_queries", "stream_queries", "network_queries", "source_queries", "terrain_queries", "area_queries", "road_queries", "ring_queries", "asset_queries", "job_queries")
+MODULES: tuple[str, ...] = ("tag_queries", "cell_queries", "feature_queries", "raster_queries", "stream_queries", "network_queries", "source_queries", "terrain_queries", "area_queries", "road_queries", "ring_queries", "asset_queries", "job_queries", "fitting_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
