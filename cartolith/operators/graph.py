@@ -71,7 +71,7 @@ def tile_labels(y: np.ndarray, x: np.ndarray, diagonal: bool) -> np.ndarray:
     return out
 
 
-def labelled(cells: DataFrame, keys: tuple[str, ...] = (), diagonal: bool = False, tile: int = 256) -> DataFrame:
+def labelled(cells: DataFrame, keys: tuple[str, ...] = (), diagonal: bool = False, tile: int = 512) -> DataFrame:
     """(keys, y, x, label): components of cell sets (keys, y, x), each key's own; label = the number of the component's first cell.
 
     Tiles are labelled one by one; labels that meet across a tile's border are joined as a small edge table. A task
