@@ -9,11 +9,11 @@ NODES = "file string, root_name string, tag string, name string, translation str
 
 
 def test_files(spark, tmp_path):
-    for name in ("a/one.i3d", "a/two.I3D", "a/two.txt", "b/x_placeholder.i3d", "b/.i3d2", "b/deep/three.i3d", "top.i3d"):
+    for name in ("a/one.abc", "a/two.ABC", "a/two.txt", "b/x_placeholder.abc", "b/.abc2", "b/deep/three.abc", "top.abc"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(name)
-    found = {(r.folder, r.name): r.length for r in X.files(spark, f"file://{tmp_path}", (".i3d",), ("placeholder",)).collect()}
-    assert found == {("a", "one.i3d"): 9, ("a", "two.I3D"): 9}
+    found = {(r.folder, r.name): r.length for r in X.files(spark, f"file://{tmp_path}", (".abc",), ("placeholder",)).collect()}
+    assert found == {("a", "one.abc"): 9, ("a", "two.ABC"): 9}
 
 
 def test_sizes_by_the_first_way(spark):
