@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartolith.operators import cells, features, lines, raster, tags, terrain
+from cartolith.session import UNASKED, bound_broadcasts
 from cartolith.sources import catalogues
 
 
@@ -104,3 +105,26 @@ def test_ribbon_spans_equal_distances(spark):
         return (x - p[0] - t * dx) ** 2 + (y - p[1] - t * dy) ** 2 <= 9 + 1e-9
 
     assert got == {(k, x, y) for k, p in ends for x in range(-24, 24) for y in range(-24, 24) if near(p, x, y)}
+
+
+def test_large_tables_are_not_broadcast_unasked(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    try:
+        for given, left in (("10MB", UNASKED), ("10485760b", UNASKED), ("100k", "100k"), ("-1", "-1"), ("4096", "4096")):
+            spark.conf.set(name, given)
+            bound_broadcasts(spark)
+            assert spark.conf.get(name).rstrip("b") in (str(left), str(int(str(left).replace("k", "")) << 10))
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_components_need_few_rounds(spark):
+    """A long snake over tiles is labelled tile by tile; labels are y * 2^20 + x of the first cell."""
+    snake = [(y, x) for y in range(0, 40, 2) for x in range(1100)] + [(y, 1099 if y % 4 == 1 else 0) for y in range(1, 39, 2)]
+    made = spark.createDataFrame([(y + 3, x + 5) for y, x in snake], "y long, x long")
+    before = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    found = raster.components(made)
+    assert {r.label for r in found.select("label").distinct().collect()} == {3 * (1 << 20) + 5}
+    assert found.count() == len(snake)
+    assert spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs() - before < 150
