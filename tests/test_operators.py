@@ -128,3 +128,70 @@ def test_components_need_few_rounds(spark):
     assert {r.label for r in found.select("label").distinct().collect()} == {3 * (1 << 20) + 5}
     assert found.count() == len(snake)
     assert spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs() - before < 150
+
+
+def test_runs_equal_sets_of_cells(spark):
+    draw = random.Random(5)
+    span = lambda: (draw.randrange(3), draw.randrange(4), low := draw.randrange(-9, 40), low + draw.randrange(9))
+    some, less = [span() for _ in range(80)], [span() for _ in range(20)]
+    made = lambda rows_: spark.createDataFrame(rows_, "k long, y long, low long, high long")
+    cover = lambda rows_: {(k, y, x) for k, y, low, high in rows_ for x in range(low, high + 1)}
+    found = cells.run_cells(cells.runs(made(some), ("k",), made(less))).select("k", "y", "x").collect()
+    assert sorted(map(tuple, found)) == sorted(cover(some) - cover(less))
+    assert rows(cells.run_cells(cells.runs(made(some), ("k",))).select("k", "y", "x")) == sorted(cover(some))
+
+
+def test_runs_take_equal_spans_as_one(spark):
+    many = spark.range(2000).selectExpr("id % 3 AS y", "0L AS low", "99999999L AS high")
+    assert rows(cells.runs(many).select("y", "low", "high")) == [(y, 0, 99999999) for y in range(3)]
+
+
+def test_cells_left_equal_cells(spark):
+    draw = random.Random(7)
+    rects = [(i, draw.randrange(90), draw.randrange(90), draw.randrange(70), draw.randrange(5)) for i in range(60)]
+    rects += [(100 + i, *r[1:]) for i, r in enumerate(rects)]
+    taken = [(y, low, low + draw.randrange(40)) for y in range(100) for low in (draw.randrange(-20, 60), draw.randrange(110, 150))]
+    gone = {(y, x) for y, low, high in taken for x in range(low, high + 1)}
+    found = cells.cells_left(spark.createDataFrame(rects, "feature_id long, x0 long, y0 long, w long, h long"), spark.createDataFrame(taken, "y long, low long, high long"))
+    want = {i: sum((y, x) not in gone for y in range(y0, y0 + h + 1) for x in range(x0, x0 + w + 1)) for i, x0, y0, w, h in rects}
+    assert dict(map(tuple, found.select("feature_id", "cells").collect())) == {i: n for i, n in want.items() if n}
+
+
+def test_equal_sizes_are_matched_once(spark):
+    """Pairs would be 2.5 billion."""
+    wanted = spark.range(50000).selectExpr("id AS footprint_id", "'a' AS category", "10L AS width", "8L AS depth")
+    entries = spark.range(50000).selectExpr("id + 7 AS ord", "'a' AS category", "8L AS width", "10L AS depth")
+    found = features.best_match(wanted, entries, 0.3)
+    assert found.groupBy("ord", "score", "turned").count().collect() == [(7, 180.0, True, 50000)]
+
+
+def test_equal_places_are_compared_once(spark):
+    """Pairs would be billions; the smallest id counts on equal places."""
+    left = spark.range(100000).selectExpr("id AS left_id", "id % 2 * 5 AS x", "0L AS y")
+    right = spark.range(100000).selectExpr("id + 3 AS right_id", "id % 2 * 4 AS x", "1L AS y")
+    found = features.nearest_within(left, right, 10, 10).groupBy("right_id", "d2").count()
+    assert rows(found) == [(3, 1, 50000), (4, 2, 50000)]
+    segs = spark.range(2000).selectExpr("id AS way_id", "0 AS seg", "0L AS x1", "id AS y1", "50L AS x2", "id AS y2")
+    points = spark.range(200000).selectExpr("id AS point_id", "id % 2 * 10 AS px", "id % 2 * 1000 + 1 AS py")
+    near = features.nearest_segments(points, segs, 100, 256, 2)
+    assert rows(near.groupBy("way_id", "d2", "k").count()) == [(0, 1.0, 2, 100000), (1, 0.0, 1, 100000), (1000, 1.0, 2, 100000), (1001, 0.0, 1, 100000)]
+
+
+def test_nearest_segments_equal_all_pairs(spark):
+    draw = random.Random(3)
+    segs = [(w, s, *(draw.randrange(1500) for _ in range(2))) for w in range(40) for s in range(2)]
+    segs = [(w, s, x, y, x + draw.randrange(-30, 31), y + draw.randrange(-30, 31)) for w, s, x, y in segs]
+    points = [(i, draw.randrange(1500), draw.randrange(1500)) for i in range(120)]
+
+    def d2(px, py, x1, y1, x2, y2):
+        dx, dy = x2 - x1, y2 - y1
+        t = max(0, min(1, ((px - x1) * dx + (py - y1) * dy) / (dx * dx + dy * dy))) if dx or dy else 0
+        return round((px - x1 - t * dx) ** 2 + (py - y1 - t * dy) ** 2, 6)
+
+    want = []
+    for i, px, py in points:
+        near = sorted((d, w, s) for w, s, *at in segs if (d := d2(px, py, *at)) <= 10000)[:3]
+        want += [(i, w, s, k + 1) for k, (_, w, s) in enumerate(near)]
+    frame = spark.createDataFrame(segs, "way_id long, seg long, x1 long, y1 long, x2 long, y2 long")
+    found = features.nearest_segments(spark.createDataFrame(points, "point_id long, px long, py long"), frame, 100, 256, 3)
+    assert rows(found.select("point_id", "way_id", "seg", "k")) == sorted(want)
