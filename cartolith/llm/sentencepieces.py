@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 N_BEST = 4
 CACHE_WORDS = 800_000
+#: Words whose n segmentations are kept.
+KEPT_WAYS = 50_000
 UNKNOWN_LOSS = 10.0
 FACTOR = 0x9E3779B97F4A7C15
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -69,6 +71,7 @@ class Segmenter:
         self.unknown = min(ordinary) - UNKNOWN_LOSS
         #: Per kept word its number in the arrays below; the arrays start anew when CACHE_WORDS are kept.
         self.number: dict[str, int] = {}
+        self.ways: dict[str, list[tuple[float, bytes]]] = {}
         self.ids, self.scores, self.losses = [], np.zeros(1 << 16), np.zeros(1 << 16)
         # pieces by a polynomial hash of their code points, sorted, and the scores and ids in that order
         codes = [self._hash(p) for p in self.pieces]
@@ -233,9 +236,16 @@ class Segmenter:
             self.scores[at : at + len(own)], self.losses[at : at + len(own)] = scores, losses
 
     def _ways(self, word: str) -> list[tuple[float, bytes]]:
-        """All n segmentations of a word as (loss, ids)."""
-        ways = self.search(word, self.n)
-        return [(ways[0][0] - score, struct.pack(f"<{len(ids)}H", *ids)) for score, ids in ways]
+        """All n segmentations of a word as (loss, ids); short words, which come again, are kept."""
+        found = self.ways.get(word)
+        if found is None:
+            ways = self.search(word, self.n)
+            found = [(ways[0][0] - score, struct.pack(f"<{len(ids)}H", *ids)) for score, ids in ways]
+            if len(word) <= 64:
+                if len(self.ways) >= KEPT_WAYS:
+                    self.ways.clear()
+                self.ways[word] = found
+        return found
 
     def encode_all(self, texts: list[str]) -> list[list[tuple[float, bytes]]]:
         """Per text up to n segmentations as (score, ids in little-endian uint16), best first."""

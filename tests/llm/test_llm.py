@@ -496,3 +496,14 @@ def test_stages_on_edge_rows(spark, docs):
 
 def test_every_operator_has_a_query():
     assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
+
+
+def test_segmentations_of_a_word_are_searched_once(monkeypatch):
+    import public_tokenizers
+
+    own = sentencepieces.Segmenter(public_tokenizers.path("piece_bpe_32k.model"), 4)
+    calls, search = [], own.search
+    monkeypatch.setattr(own, "search", lambda word, n: calls.append(word) or search(word, n))
+    found = own.encode_all(["some words come again and again"] * 50)
+    assert all(f == found[0] for f in found) and len(found[0]) == 4
+    assert 1 <= len(calls) == len(set(calls)) <= 3
