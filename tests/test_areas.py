@@ -6,7 +6,9 @@ from collections import defaultdict
 import pytest
 
 from cartolith.operators import areas as A
+from cartolith.operators import cells as C
 from cartolith.operators import graph
+from cartolith.plans import registry
 
 
 def flood(cells, diagonal=False):
@@ -174,3 +176,33 @@ def test_whole_clean_up(spark):
     assert {k[1]: c for k, c in got.items() if k[0] == "a"} == {number(p): p for p in want if len(p) >= 10}
     stats = {r.group: tuple(r)[1:] for r in A.report(targets, found).collect()}
     assert stats["b"] == (100, 1, 50) and stats["a"][0] == 800
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spans_give_sums_without_cells(spark):
+    spans = spark.createDataFrame([("a", 0, 2, 5), ("a", 0, 2, 3), ("a", 0, 4, 9), ("a", 0, 5, 6), ("a", 0, 12, 12), ("a", 1, 0, 0), ("b", 0, 3, 4)], "k string, y long, low long, high long")
+    found = C.pieces(spans, ("k",))
+    want = [("a", y, x) for y, x in [*((0, x) for x in (*range(2, 10), 12)), (1, 0)]] + [("b", 0, 3), ("b", 0, 4)]
+    assert sorted(map(tuple, C.run_cells(found).select("k", "y", "x").collect())) == sorted(want)
+    few = C.run_cells(C.pieces(spans, ("k",), crowded=False)).select("k", "y", "x").collect()
+    assert sorted(map(tuple, few)) == sorted(want)
+    sums = {r.k: (r.cells, r.sx, r.sy) for r in C.span_sums(found, "k").collect()}
+    assert sums == {k: (len(own), sum(x for _, _, x in own), sum(y for _, y, _ in own)) for k in "ab" for own in [[w for w in want if w[0] == k]]}
+
+
+def test_ribbon_queries_make_no_cells(spark):
+    for name in ("POLY_02_line_ribbon", "POLY_13_flat_ribbon", "POLY_15_component_ribbons"):
+        # rows of segments and steps of discs are exploded, cells are not
+        assert "sequence(low" not in plan(registry.queries()[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_rectangles_of_one_size_are_eroded_once(spark):
+    rects = [(1, 10, 10, 6, 8), (2, 40, 10, 6, 8), (3, 0, 10, 6, 8), (4, 13, 20, 6, 8), (5, 10, 10, 2, 2)]
+    frame = spark.createDataFrame(rects, "feature_id long, x0 long, y0 long, w long, h long")
+    cells = C.eroded(C.fill_rectangles(frame).select("feature_id", "x", "y"), 2, 20, 60, ("feature_id",)).groupBy("feature_id").count()
+    want = dict(map(tuple, cells.collect()))
+    found = {r.feature_id: (r.whole, r.cells) for r in C.eroded_sizes(frame, 2, 20, 60).collect()}
+    assert found == {f: ((w + 1) * (h + 1), want.get(f, 0)) for f, _, _, w, h in rects}
