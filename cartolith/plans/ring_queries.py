@@ -75,7 +75,7 @@ r AS (SELECT *, least(19 * least(1e0, turn / (pi() / 2)), 45e-2 * lp, 45e-2 * ln
 SELECT ring, CAST(sum(CASE WHEN corner THEN greatest(3, 10 + floor(round(turn / (pi() / 2) * 2, 6))) + 1 ELSE 1 END) AS BIGINT) AS vertices, round(sum(CASE WHEN corner THEN reach ELSE 0 END), 3) AS reach FROM u WHERE corners > 0 GROUP BY ring""")
 def _(v):
     """Vertices of the rounded rings of strength 0.5, and the radii of their corners (from the arcs' first points)."""
-    own = rings(v)
+    own = rings(v).checkpoint()
     found = G.rounded(own, 0.5, control=False)
     counts = found.groupBy("ring").agg((F.count("*") - 1).alias("vertices"))
     corners = G.corners(own, 0.5, control=False).groupBy("ring").agg(F.round(F.sum("r"), 3).alias("reach"))
