@@ -195,3 +195,26 @@ def test_nearest_segments_equal_all_pairs(spark):
     frame = spark.createDataFrame(segs, "way_id long, seg long, x1 long, y1 long, x2 long, y2 long")
     found = features.nearest_segments(spark.createDataFrame(points, "point_id long, px long, py long"), frame, 100, 256, 3)
     assert rows(found.select("point_id", "way_id", "seg", "k")) == sorted(want)
+
+
+def test_tasks_after_a_shuffle_grow_with_the_tables(spark, tmp_path, monkeypatch):
+    from cartolith import session
+
+    (tmp_path / "part.parquet").write_bytes(bytes(1000))
+    names = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = [spark.conf.get(n, None) for n in names]
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    session.bound_tasks(spark, str(tmp_path))
+    assert int(spark.conf.get(names[0])) == own
+    monkeypatch.setattr(session, "SHARE", 10)
+    session.bound_tasks(spark, str(tmp_path))
+    assert int(spark.conf.get(names[0])) == max(own, 100) and int(spark.conf.get(names[1])) == session.READ
+    for name, value in zip(names, before, strict=True):
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_least_rectangles_take_one_shuffle(spark):
+    from cartolith.plans import registry
+
+    text = registry.queries()["AGG_20_min_area_rectangle"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and text.count("Exchange") == 1
