@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,8 +40,10 @@ MAX_DOCS = 3000
 MAX_CHARS = 50_000
 FIT_WORDS = 200
 FIT_LINES = 4000
-CACHE_WORDS = 300_000
-BATCH_TOKENS = 400_000
+CACHE_WORDS = 100_000
+BATCH_TOKENS = 200_000
+#: Bytes of the texts that are scored together; one text is never cut.
+SLICE_BYTES = 1 << 20
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -253,6 +256,19 @@ class Scorer(dict):
         return out
 
 
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of successive texts of `most` bytes together or a single one."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    at = held = 0
+    for k, size in enumerate(sizes):
+        if k > at and held + size > most:
+            yield at, k - at
+            at, held = k, 0
+        held += size
+    if at < len(sizes):
+        yield at, len(sizes) - at
+
+
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
@@ -281,8 +297,8 @@ def tagged(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at, n in slices(batch.column(place)):
+                part = batch.slice(at, n)
                 found = scorer.texts([t or "" for t in part.column(place).to_pylist()])
                 column = pa.array([{"score": scorer.score(s), "spans": [dict(zip(("start", "end", "probability"), x, strict=True)) for x in spans]} for s, spans in found], kind)
                 yield pa.RecordBatch.from_arrays([*part.columns, column], schema.names)

@@ -9,11 +9,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
 import corpus_pipeline
-from cartolith.llm import chat, exact, html, lines, linking, packing, quality, queries, sentencepieces, simhash, toxicity, urls
+from cartolith.llm import chat, common, exact, html, lines, linking, packing, quality, queries, sentencepieces, simhash, toxicity, urls
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, score double, row long"
@@ -507,3 +508,25 @@ def test_segmentations_of_a_word_are_searched_once(monkeypatch):
     found = own.encode_all(["some words come again and again"] * 50)
     assert all(f == found[0] for f in found) and len(found[0]) == 4
     assert 1 <= len(calls) == len(set(calls)) <= 3
+
+
+def test_toxicity_slices_are_bounded_by_bytes():
+    texts = pa.array(["a" * n for n in (3, 4, 9, 1, 1, 30, 2)] + [None, "", "é" * 5])
+    found = list(toxicity.slices(texts, 10))
+    assert [k for at, n in found for k in range(at, at + n)] == list(range(len(texts)))
+    assert found == [(0, 2), (2, 2), (4, 1), (5, 1), (6, 3), (9, 1)]
+    assert list(toxicity.slices(pa.array([], pa.string()))) == []
+
+
+def test_pipeline_bounds_the_batches_given_to_python(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "67108864b")
+        corpus_pipeline.STAGES[0][1](spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0), "/root/testdata/sf0.001")
+        assert 0 < int(spark.conf.get(name).rstrip("b")) <= 8 << 20
+        spark.conf.set(name, "1000")
+        common.bound_batches(spark)
+        assert int(spark.conf.get(name).rstrip("b")) == 1000
+    finally:
+        spark.conf.set(name, before)
