@@ -418,6 +418,35 @@ def test_fuzzy_lines_against_brute_force(spark, monkeypatch):
     assert found == {d: "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in results[0]) for d, t in source.items()}
 
 
+def test_salted_blocks_of_few_lines_are_large(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", 4)
+    rows = [(k % 3, 0, 40, [7]) for k in range(30)] + [(8, 0, 40, [9]), (9, 1, 40, [9])]
+    frame = spark.createDataFrame(rows, "id long, fp long, chars int, blocks array<long>")
+    for found in (lines.first_pairs(frame), lines.first_pairs(frame, 0, 2).unionByName(lines.first_pairs(frame, 1, 2))):
+        found = found.collect()
+        assert {r.a for r in found if r.b is None} == {0, 1, 2} and [(r.a, r.b) for r in found if r.b is not None] == [(8, 9)]
+
+
+def test_a_text_travels_once_to_a_bucket(spark):
+    texts = spark.createDataFrame([(k, str(k).encode(), f"text {k}") for k in range(200)], "id long, line binary, norm string")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 200)], "a long, b long")
+    found = lines.meetings(pairs, texts).collect()
+    visits = [r for r in found if r.others is not None]
+    assert len(found) == 200 + len(visits) and len(visits) <= lines.BUCKETS and {r.id for r in visits} == {0}
+    home = {r.id: r.bucket for r in found if r.others is None}
+    assert sorted(k for r in visits for k in r.others) == list(range(1, 200)) and all(home[k] == r.bucket for r in visits for k in r.others)
+
+
+def test_line_tables_go_when_they_are_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    spark.conf.unset("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    frame = spark.createDataFrame([(1, "one of two lines that differ"), (2, "one of two lines that differs")], "doc_id long, text string")
+    assert [r.text for r in lines.deduplicated(frame).orderBy("doc_id").collect()] == ["one of two lines that differ", ""]
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert "lines-links" in left and not left & {"lines-found", "lines-texts", "lines-pairs", "lines-ids"}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+
+
 def test_normal_forms_of_lines():
     own = lines.Lines(["Ab, c_d 12!\n\n  \n--  --\nÉa e\u0301x", "日本 語\n"])
     assert [own.normal(k) for k in range(own.n)] == ["ab c d 12", "", "", "", "éa e\u0301x", "日本 語", ""]
