@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cartolith.operators import cells as C
 from cartolith.operators import cells, features, lines, raster, tags, terrain
+from cartolith.plans import registry
 from cartolith.session import UNASKED, bound_broadcasts
 from cartolith.sources import catalogues
 
@@ -218,3 +220,29 @@ def test_least_rectangles_take_one_shuffle(spark):
 
     text = registry.queries()["AGG_20_min_area_rectangle"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in text and text.count("Exchange") == 1
+
+
+def test_largest_claim_of_rectangles_by_blocks(spark):
+    draw = random.Random(5)
+    rects = [(k, "ab"[k % 2], draw.randrange(-9, 20), draw.randrange(-9, 20), draw.randrange(0, 12), draw.randrange(0, 40 if k == 3 else 9)) for k in range(-20, 40)]
+    rects += [(100 + k, *rects[4][1:]) for k in range(50)]
+    claims = spark.createDataFrame(rects, "id long, kind string, x0 long, y0 long, w long, h long")
+    claims = claims.withColumn("claim", C.ranked((F.col("w") + 1) * (F.col("h") + 1), F.col("id")))
+    for keys in ((), ("kind",)):
+        want = {}
+        for k, kind, x0, y0, w, h in rects:
+            for y in range(y0, y0 + h + 1):
+                for x in range(x0, x0 + w + 1):
+                    at = ((kind,) if keys else ()) + (y, x)
+                    want[at] = max(want.get(at, (0, 0)), ((w + 1) * (h + 1), -k))
+        found = C.over_rectangles(claims, "claim", keys).select(*keys, "y", "x", C.ranked_id(F.col("claim"))).collect()
+        assert {tuple(r)[:-1]: -r[-1] for r in found} == {at: m for at, (_, m) in want.items()} and len(found) == len(want)
+    assert C.over_rectangles(claims.where("id > 1000"), "claim").collect() == []
+
+
+@pytest.mark.parametrize("name", ["WIN_14_first_claim", "WIN_15_disjoint_surface", "JOIN_09_cross_group_holes"])
+def test_overlays_shuffle_no_cells_of_single_claims(spark, name):
+    """What cells are made of grows with the frame, not with all claims, and no shuffle files are left."""
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "parquet" not in plan.lower()  # claims are reduced to blocks and stretches before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
